@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("toxicity_query", "line_query", "secrets_query", "hmm_query", "decontamination_query", "simhash_query", "mixing_query", "media_query")
+MODULES = ("toxicity_query", "quality_query", "url_query", "line_query", "secrets_query", "hmm_query", "decontamination_query", "simhash_query", "mixing_query", "media_query")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
