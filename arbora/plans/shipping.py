@@ -1,0 +1,38 @@
+"""Make the package importable on executors, wherever the driver found it."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+PACKAGE = Path(__file__).resolve().parents[1]
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package's sources to the executors once an application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="arbora-")) / f"{PACKAGE.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in PACKAGE.rglob("*.py"):
+            out.write(source, source.relative_to(PACKAGE.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
+def shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query`` with its package shipped first."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
