@@ -43,8 +43,10 @@ WIDE_BITS = 26
 WINDOW = 64
 BLOCK = 2048
 CARRIED = 128
-SKETCH = 256
+SKETCH_BITS = 9
+SKETCH = 1 << SKETCH_BITS
 SIMILAR = 0.8
+SLACK = 0.01
 SHINGLE_WORDS = 5
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -177,8 +179,9 @@ def sketch(words: list[bytes], n: int = SHINGLE_WORDS) -> np.ndarray:
     """One-permutation min-hash of the ``n``-word shingles: 16 bits of the least hash in each of SKETCH ranges; 0 is empty."""
     least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
     for part in digests(shingles(words, n), 7):
-        np.minimum.at(least, part[:, 0], part.view(">u8").reshape(-1).astype(np.uint64) << np.uint64(8))
-    values = (least >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.uint16)
+        hashes = part.view(">u8").reshape(-1).astype(np.uint64)
+        np.minimum.at(least, (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), hashes << np.uint64(SKETCH_BITS))
+    values = (least >> np.uint64(SKETCH_BITS) & np.uint64(0xFFFF)).astype(np.uint16)
     return np.where(least == np.iinfo(np.uint64).max, 0, np.maximum(values, 1)).astype(np.uint16)
 
 
@@ -284,7 +287,7 @@ def _similar(least: float):
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SKETCH) for i in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array(similarity(a, b) >= least))
+                yield batch.select([0, 1]).filter(pa.array(similarity(a, b) >= least - SLACK))
 
     return run
 
