@@ -76,10 +76,11 @@ def candidates(docs: DataFrame, elements: DataFrame, shingle: int = SHINGLE, wor
 def hits(docs: DataFrame, items: DataFrame, span: int = SPAN, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_hit and items (sorted ids of items with an occurring window) of each row, and ``carried`` columns."""
     cut = staged(windows(items, span))
-    worded = docs.select("doc_id", *carried, row_key("doc_id", "text").alias("__row"), words_of("text").alias("words"))
-    maybe = candidates(worded, staged(window_elements(cut)))
+    keyed = docs.select("doc_id", *carried, *([] if "text" in carried else ["text"]), row_key("doc_id", "text").alias("__row"))
+    maybe = candidates(keyed.select("__row", words_of("text").alias("words")), staged(window_elements(cut)))
     listed = maybe.join(cut.select("text", "length", "items"), "text").groupBy("row").agg(F.collect_list(F.struct("start", "length", "text", "items")).alias("maybe"))
-    joined = worded.join(staged(listed).withColumnRenamed("row", "__row"), "__row", "left")
+    listed = listed.withColumnRenamed("row", "__row").hint("merge")  # contaminated documents have no bound, so never broadcast
+    joined = keyed.join(listed, "__row", "left").withColumn("words", words_of("text"))  # texts are smaller to shuffle than words
     sure = F.filter("maybe", lambda c: (c["start"] + c["length"] <= F.size("words")) & (F.array_join(F.slice("words", c["start"] + 1, c["length"]), " ") == c["text"]))
     judged = joined.withColumn("sure", F.coalesce(sure, F.array().cast("array<struct<start:int,length:int,text:string,items:array<string>>>")))
     places = F.array_distinct(F.flatten(F.transform("sure", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1))))
