@@ -7,7 +7,7 @@ SAMPLE_DOCS texts; then Baum-Welch runs over all training texts: each task sums
 symbol, so what moves is a small table whatever the input. The likelihood of a text is exact, by scaled forward recursion over
 all of its tokens.
 
-The HEAD most frequent tokens' counts go to the tasks, a bounded table. Tokens beyond it meet the whole count table in a join,
+Counts of the most frequent tokens, HEAD of them at most and all above some count, go to the tasks, a bounded table. Tokens beyond it meet the whole count table in a join,
 as rows of text key, word and occurrences.
 
 Defined cases: a null or empty text is its end token alone; a null id counts as empty text in the split; repeated rows are
@@ -20,26 +20,27 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.llm.common import ascii_words, id_bucket, row_key, staged
 
 END = b"\n"
 ADDED = 0.1
-HEAD = 1 << 18
+HEAD = 1 << 17
 CLASSES = 1 << 13
 STATES = 6
 SAMPLE_DOCS = 400
 SAMPLE_ROUNDS = 15
-CORPUS_ROUNDS = 2
+CORPUS_ROUNDS = 1
 PRIOR_TOKENS = 200.0
 HELD_COUNTS = 500_000
-CELL_TOKENS = 1 << 18
-TOGETHER = 512
+CELL_TOKENS = 1 << 19
+TOGETHER = 1024
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -189,14 +190,17 @@ class Vocabulary:
 
 def vocabulary(counted: DataFrame, head: int = HEAD, classes: int = CLASSES) -> Vocabulary:
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = counted.orderBy(F.desc("n"), "word").limit(head).toPandas()
-    words = [bytes(w) for w in rows["word"]]
+    by_count = counted.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", F.sum("words").over(Window.orderBy(F.desc("n"))))
+    least = by_count.filter(F.col("upto") <= head).agg(F.min("n")).first()[0]
+    rows = counted.filter(F.lit(False) if least is None else F.col("n") >= least).toPandas()
+    rows["word"] = [bytes(w) for w in rows["word"]]
+    rows = rows.sort_values(["n", "word"], ascending=[False, True])
+    words = rows["word"].tolist()
     return Vocabulary(dict(zip(words, map(int, rows["n"]))), {w: i for i, w in enumerate(words[:classes])}, int(total), int(distinct))
 
 
 def _symbols_of(words: list[bytes], symbols: dict[bytes, int]) -> np.ndarray:
-    rest, get = len(symbols), symbols.get
-    return np.array([get(w, rest) for w in words], np.int32)
+    return np.fromiter(map(symbols.get, words, repeat(len(symbols))), np.int32, len(words))
 
 
 def _expectation(shipped):
