@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_DOCS = 6000
+NEGATIVES = 3
 BUCKETS = 1 << 16
 DIMENSIONS = 12
 GRAMS = (3, 4, 5)
@@ -78,8 +79,8 @@ def worst_window(parts: np.ndarray, window: int = WINDOW) -> tuple[int, float]:
     return at, float(means[at])
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 14, whole_epochs: int = 4, rate: float = 0.5, seed: int = 1) -> tuple[np.ndarray, float]:
-    """The part of each bucket in the log-odds, and the bias."""
+def train(texts: list[str], labels: np.ndarray, epochs: int = 10, whole_epochs: int = 3, full_epochs: int = 2, rate: float = 0.5, seed: int = 1) -> tuple[np.ndarray, float]:
+    """The part of each bucket in the log-odds, and the bias. All but the last ``full_epochs`` take NEGATIVES negatives a positive."""
     if len(set(labels.tolist())) < 2:
         return np.zeros(BUCKETS, np.float32), float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)) if len(labels) else 0.0)
     rng = np.random.default_rng(seed)
@@ -89,7 +90,10 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, whole_epochs:
     seen_vectors, seen_softmax, seen_bias = np.full((BUCKETS, 1), 1e-6, np.float32), np.full((2, DIMENSIONS), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     for epoch in range(epochs):
         parts = bags.word_parts(vectors @ (softmax[1] - softmax[0])) if epoch >= whole_epochs else None
-        for i in rng.permutation(len(texts)):
+        chosen = np.flatnonzero(labels == 1)
+        others = np.flatnonzero(labels == 0)
+        wanted = len(others) if epoch >= epochs - full_epochs else min(len(others), NEGATIVES * len(chosen))
+        for i in rng.permutation(np.r_[chosen, rng.choice(others, wanted, replace=False)]):
             words = bags.docs[i]
             if not len(words):
                 continue
