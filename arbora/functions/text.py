@@ -109,7 +109,7 @@ def duration(seconds: Column) -> Column:
     """``n/a``, ``0.4 s``, ``38 s``, ``4m 12s`` or ``1h 03m 05s``; halves go to the even neighbour."""
     span = F.greatest(seconds, F.lit(0.0))
     tenths, whole = F.bround(span, 1), F.bround(span, 0).cast("long")
-    short = F.concat(F.when(tenths == F.floor(tenths), F.floor(tenths).cast("string")).otherwise(F.format_number(tenths, "0.0")), F.lit(" s"))
+    short = F.concat(F.when(tenths == F.floor(tenths), F.floor(tenths).cast("string")).otherwise(F.format_number(tenths, 1)), F.lit(" s"))
     hours, minutes, rest = F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60
     two = lambda n: F.lpad(n.cast("string"), 2, "0")
     long = F.when(hours > 0, F.concat(hours.cast("string"), F.lit("h "), two(minutes), F.lit("m "), two(rest), F.lit("s"))).otherwise(F.concat(minutes.cast("string"), F.lit("m "), two(rest), F.lit("s")))

@@ -20,7 +20,7 @@ def blocks(rows: DataFrame, keys: list[str], order: list, starts: Column, ends:
     """Number blocks that begin with a start and stay open until a terminator; rows outside of blocks are dropped."""
     upto = _by(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     opened = F.last(F.when(starts, True).when(ends, False), ignorenulls=True).over(upto)
-    return rows.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(upto)).filter(opened)
+    return rows.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(upto)).withColumn("__open", opened).filter("__open").drop("__open")
 
 
 def next_value(value: Column, keys: list[str], order: list) -> Column:
