@@ -64,6 +64,17 @@ def roman(number: Column) -> Column:
     return out
 
 
+def _roman_of(number: int) -> str:
+    out = ""
+    for value, symbol in ROMAN:
+        times, number = divmod(number, value)
+        out += symbol * times
+    return out
+
+
+VALID_ROMANS = [_roman_of(n) for n in range(1, 61)]
+
+
 def marker_token(line: Column) -> Column:
     """The token of a leading ``token)`` marker followed by a space, else null."""
     token = F.regexp_extract(line, r"^([A-Za-z0-9]{1,4})\)\s+(.*)$", 1)
@@ -73,12 +84,11 @@ def marker_token(line: Column) -> Column:
 def marker_kind(token: Column) -> Column:
     """sentence, ambiguous, clause, subclause or noise; null for null."""
     low = F.lower(token)
-    romans = F.transform(F.sequence(F.lit(1), F.lit(60)), roman)
     return (
         F.when(F.rlike(token, F.lit(r"^[0-9]+$")), "sentence")
         .when((F.length(low) == 1) & low.isin(*"ivxlcdm"), "ambiguous")
         .when(F.length(low) == 1, "clause")
-        .when(F.array_contains(romans, low), "subclause")
+        .when(low.isin(*VALID_ROMANS), "subclause")
         .when(token.isNotNull(), "noise")
     )
 
