@@ -6,7 +6,8 @@ code, which covers its space with radius 1: each point has exactly one anchor wi
 ``linked_fingerprints`` finds exactly the pairs of distinct 64-bit fingerprints within ``bits`` (3 at most). Of two halves, one
 holds ``bits // 2`` of the differences at most, so in that half the other fingerprint lies within 1 + ``bits // 2`` of the home.
 Each fingerprint is therefore replicated, in each half, to every code word of the (31, 26) code that near, and compared with
-the fingerprints at home there. Homes that many share are dealt again by thirds of the other half, one of which must agree.
+the fingerprints at home there. Homes that many share are dealt again by bits + 1 parts of the
+other half, one of which must agree.
 
 ``near_duplicates`` finds documents with a Jaccard similarity of 0.8 or more over five-word shingles. It draws a wide
 fingerprint from the document's longer words, and cuts it into pieces of 15 bits, which are replicated to the anchors of the
@@ -119,13 +120,14 @@ def _anchored(prints: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:
     return homes, points.select("half", "print", F.explode(far).alias("anchor")).select((F.col("half") + F.col("anchor")).alias("slot"), "print")
 
 
-def _dealt_again(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Rows of hot slots once for each third of the half that the slot is not in; the others once."""
+def _dealt_again(rows: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
+    """Rows of hot slots once for each of ``parts`` parts of the half that the slot is not in; the others once."""
     marked = rows.join(hot, "slot", "left")
     other = F.when(F.col("slot") >= 1 << 31, F.col("print").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("print", 32))
-    thirds = F.array(*(F.struct(F.lit(i).alias("third"), F.shiftrightunsigned(other, 11 * i).bitwiseAND(F.lit(0x7FF)).alias("value")) for i in range(3)))
-    whole = F.array(F.struct(F.lit(-1).alias("third"), F.lit(0).cast("long").alias("value")))
-    return marked.select("slot", "print", F.explode(F.when(F.col("hot"), thirds).otherwise(whole)).alias("x")).select("slot", "print", "x.third", "x.value")
+    width = -(-32 // parts)
+    cut = F.array(*(F.struct(F.lit(i).alias("part"), F.shiftrightunsigned(other, width * i).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for i in range(parts)))
+    whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("value")))
+    return marked.select("slot", "print", F.explode(F.when(F.col("hot"), cut).otherwise(whole)).alias("x")).select("slot", "print", "x.part", "x.value")
 
 
 def linked_fingerprints(prints: DataFrame, bits: int = 2) -> DataFrame:
@@ -136,7 +138,7 @@ def linked_fingerprints(prints: DataFrame, bits: int = 2) -> DataFrame:
     hot = staged(homes.groupBy("slot").count().filter(F.col("count") > HOT_HOMES).select("slot", F.lit(True).alias("hot")))
     keys = ["slot"]
     if not hot.isEmpty():
-        homes, replicas, keys = _dealt_again(homes, hot), _dealt_again(replicas, hot), ["slot", "third", "value"]
+        homes, replicas, keys = _dealt_again(homes, hot, bits + 1), _dealt_again(replicas, hot, bits + 1), ["slot", "part", "value"]
     pairs = homes.withColumnRenamed("print", "a").join(replicas.withColumnRenamed("print", "b"), keys)
     return pairs.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b").distinct()
 
