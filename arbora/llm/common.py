@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -45,10 +46,18 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
-    """UTF-8 bytes of a text column; null is empty."""
-    values = batch.column(batch.schema.get_field_index(column))
-    return [b"" if v is None else v for v in values.cast(pa.large_binary()).to_pylist()]
+def texts_of(column: pa.Array, rows: int = 256) -> Iterator[bytes]:
+    """UTF-8 bytes of a text column, null as empty; only ``rows`` texts are copied at a time."""
+    for begin in range(0, len(column), rows):
+        for value in column.slice(begin, rows).cast(pa.large_binary()).to_pylist():
+            yield value or b""
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Keep the texts that are at once between Spark and Python to ``rows`` a task, where the session allows more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
 
 
 def ascii_words(text: bytes) -> list[bytes]:

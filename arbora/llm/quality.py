@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from arbora.llm.common import texts_of
 from arbora.llm.toxicity import training_rows
 
 TRAIN_DOCS = 8000
@@ -97,8 +98,8 @@ def with_evidence(docs: DataFrame, model: Logistic) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()).to_pylist()
-            found = shipped.value.probability(np.array([measures(t or b"") for t in texts]).reshape(-1, SIZE))
+            texts = texts_of(batch.column(batch.schema.get_field_index("text")))
+            found = shipped.value.probability(np.array([measures(t) for t in texts]).reshape(-1, SIZE))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "evidence"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("evidence", DoubleType())]))

@@ -11,8 +11,8 @@ other half, one of which must agree.
 
 ``near_duplicates`` finds documents with a Jaccard similarity of 0.8 or more over five-word shingles. It draws a wide
 fingerprint from the document's longer words, and cuts it into pieces of 15 bits, which are replicated to the anchors of the
-(15, 11) code, and 8 bits that must agree. Within an anchor, documents that differ in few bits are linked; groups larger than
-WINDOW are linked by minimum spanning trees over blocks, so links stay in proportion to rows. Links are kept where the
+(15, 11) code, and 8 bits that must agree. Within an anchor, documents that differ in few bits are linked where one
+is at home; groups larger than WINDOW are linked by minimum spanning trees over blocks, so links stay in proportion to rows. Links are kept where the
 shingles' sketch has the similarity.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; texts of fewer words than a shingle have one
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import ascii_words, staged
+from arbora.llm.common import ascii_words, staged, texts_of
 from arbora.llm.components import components
 
 SEED = 42
@@ -88,7 +88,7 @@ def fingerprint(text: bytes, n: int = 3) -> int:
 def _fingerprints(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t or b"", n) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            found = [fingerprint(t, n) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "print"])
 
     return run
@@ -196,8 +196,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, prints, sketches = [], [], []
-        for text in batch.column(1).cast(pa.large_binary()).to_pylist():
-            words = ascii_words(text or b"")
+        for text in texts_of(batch.column(1)):
+            words = ascii_words(text)
             whole = xxhash.xxh3_64_intdigest(b" ".join(words))
             keys.append(whole - (1 << 64) * (whole >> 63))
             prints.append(wide_fingerprint(words).tobytes())
@@ -221,11 +221,11 @@ def _to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             anchors = near[point]
             row, column = np.nonzero(anchors >= 0)
             slots = ((piece << (PIECE_BITS - ANCHOR_BITS)) + rest[row] << ANCHOR_BITS) + anchors[row, column]
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(ids[row]), prints.take(pa.array(row))], ["slot", "node", "print"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(ids[row]), prints.take(pa.array(row)), pa.array(column == 0)], ["slot", "node", "print", "home"])
 
 
-def _tree(ids: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """The edges within ``most`` bits of a minimum spanning forest."""
+def _tree(ids: np.ndarray, prints: np.ndarray, homes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """The edges within ``most`` bits of a minimum spanning forest that have an end at home; others are found at their homes."""
     n = len(ids)
     best, parent, out = np.full(n, 1 << 30), np.zeros(n, np.int64), np.zeros(n, bool)
     edges, at = [], 0
@@ -235,7 +235,7 @@ def _tree(ids: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int
         closer = ~out & (apart < best)
         best[closer], parent[closer] = apart[closer], at
         at = int(np.argmin(np.where(out, 1 << 30, best)))
-        if best[at] <= most:
+        if best[at] <= most and (homes[at] or homes[parent[at]]):
             edges.append((int(ids[at]), int(ids[parent[at]])))
     return edges
 
@@ -244,22 +244,24 @@ def _within_anchors(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
 
-        def linked(slots: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        def linked(slots: np.ndarray, ids: np.ndarray, prints: np.ndarray, homes: np.ndarray) -> pa.RecordBatch:
             edges: list[tuple[int, int]] = []
             starts = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
             lengths = np.diff(np.r_[starts, len(slots)])
             large = np.repeat(lengths > WINDOW, lengths)
             left, right = [], []
             for k in range(1, WINDOW):
-                same = np.flatnonzero((slots[k:] == slots[:-k]) & ~large[k:])
-                if not same.size:
+                together = (slots[k:] == slots[:-k]) & ~large[k:]
+                if not together.any():
                     break
+                same = np.flatnonzero(together & (homes[k:] | homes[:-k]))
                 near = same[np.bitwise_count(prints[same] ^ prints[same + k]).sum(1) <= most]
                 left.append(ids[near])
                 right.append(ids[near + k])
             for start, length in zip(starts[lengths > WINDOW], lengths[lengths > WINDOW]):
                 for begin in range(start, start + length, BLOCK - CARRIED):  # each block starts with the end of the one before
-                    edges += _tree(ids[begin : min(begin + BLOCK, start + length)], prints[begin : min(begin + BLOCK, start + length)], most)
+                    part = slice(begin, min(begin + BLOCK, start + length))
+                    edges += _tree(ids[part], prints[part], homes[part], most)
             a = np.concatenate([*left, np.array([e[0] for e in edges], np.int64)])
             b = np.concatenate([*right, np.array([e[1] for e in edges], np.int64)])
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
@@ -268,7 +270,7 @@ def _within_anchors(most: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, len(WIDE_SEEDS)))
+            rows = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, len(WIDE_SEEDS)), batch.column(3).to_numpy(zero_copy_only=False))
             if held is not None:
                 rows = tuple(np.concatenate(x) for x in zip(held, rows))
             last = int(np.searchsorted(rows[0], rows[0][-1]))
@@ -298,7 +300,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, bits: int = WIDE_BI
     """doc_id and component_id of each row: documents linked by equal words or by a similarity of ``least`` or more."""
     rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_wide, "doc_id long, key long, print binary, sketch binary"))
     classes = staged(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("print", "sketch"), F.coalesce("doc_id", F.lit(0))).alias("x")).select("key", "least", "x.print", "x.sketch"))
-    replicas = classes.select("key", "print").mapInArrow(_to_anchors, "slot long, node long, print binary")
+    replicas = classes.select("key", "print").mapInArrow(_to_anchors, "slot long, node long, print binary, home boolean")
     near = replicas.repartition("slot").sortWithinPartitions("slot", "print", "node").mapInArrow(_within_anchors(bits), "a long, b long").distinct()
     left, right = (classes.select(F.col("key").alias(n), F.col("sketch").alias(f"{n}_sketch")) for n in ("a", "b"))
     kept = near.join(left, "a").join(right, "b").select("a", "b", "a_sketch", "b_sketch").mapInArrow(_similar(least), "a long, b long")

@@ -38,7 +38,7 @@ def test_big_endian_planar_sixteen_bits():
     entries = b"".join(struct.pack(">HHI", t, k, n) + (v or struct.pack(">I", more + (0 if t == 273 else 8))) for t, k, n, v in tags)
     blob = b"MM\0*" + struct.pack(">I", more + 16) + data + arrays + struct.pack(">H", len(tags)) + entries + b"\0\0\0\0"
     (page,) = read_tiff(blob)
-    assert (np.frombuffer(page.pixels, ">u2").reshape(2, 3, 2) == samples.transpose(1, 2, 0)).all()
+    assert (np.frombuffer(page.pixels, ">u2").reshape(2, 3, 2) == samples.transpose(1, 2, 0)).all(), page
 
 
 def test_cyclic_directories_end():
