@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame
 
 
+@cache
+def _own_dir() -> str:
+    """A folder of this process, gone when it ends; only for sessions that name no shared one, as in tests."""
+    path = tempfile.mkdtemp(prefix="arbora-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(df: DataFrame) -> str:
     """The session's ``spark.checkpoint.dir``; a folder of our own only where none is set."""
     spark = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return found or tempfile.mkdtemp(prefix="arbora-")
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_dir()
 
 
 def staged(df: DataFrame) -> DataFrame:
