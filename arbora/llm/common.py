@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora.sources.staging import staged as staged
+
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -24,28 +24,6 @@ def id_bucket(column: str, buckets: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets
 
 
-def shared_dir(df: DataFrame) -> str:
-    """The folder all executors share; a folder of our own only where none is set."""
-    spark = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return found or tempfile.mkdtemp(prefix="arbora-")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder, so that a lost executor costs no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df))
-    return df.checkpoint()
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Write as Parquet to the shared folder and read it back: a compressed, columnar checkpoint."""
-    path = f"{shared_dir(df).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def texts_of(column: pa.Array, rows: int = 256) -> Iterator[bytes]:
     """UTF-8 bytes of a text column, null as empty; only ``rows`` texts are copied at a time."""
     for begin in range(0, len(column), rows):
