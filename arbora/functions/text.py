@@ -64,7 +64,7 @@ def roman(number: Column) -> Column:
     return out
 
 
-def _roman_of(number: int) -> str:
+def roman_of(number: int) -> str:
     out = ""
     for value, symbol in ROMAN:
         times, number = divmod(number, value)
@@ -72,7 +72,7 @@ def _roman_of(number: int) -> str:
     return out
 
 
-VALID_ROMANS = [_roman_of(n) for n in range(1, 61)]
+VALID_ROMANS = [roman_of(n) for n in range(1, 61)]
 
 
 def marker_token(line: Column) -> Column:

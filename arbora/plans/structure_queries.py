@@ -143,7 +143,7 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
 def call_costs(spark: SparkSession, d: str) -> DataFrame:
     """Cost of tokens by the millions, unknown without a price."""
     price = F.when(c("p_type") != "ECONOMY", F.lit(2.5))
-    return table(spark, d, "part").groupBy("p_type").agg(F.sum("p_size").alias("tokens")).select("p_type", "tokens", F.round(c("tokens") * F.when(c("p_type") != "ECONOMY", F.lit(2.5)) / 1e6, 9).alias("cost"))
+    return table(spark, d, "part").groupBy("p_type").agg(F.sum("p_size").alias("tokens")).select("p_type", "tokens", F.round(c("tokens") * price / 1e6, 9).alias("cost"))
 
 
 def unnamed_figures(spark: SparkSession, d: str) -> DataFrame:
