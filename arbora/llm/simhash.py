@@ -9,11 +9,12 @@ Each fingerprint is therefore replicated, in each half, to every code word of th
 the fingerprints at home there. Homes that many share are dealt again by bits + 1 parts of the
 other half, one of which must agree.
 
-``near_duplicates`` finds documents with a Jaccard similarity of 0.8 or more over five-word shingles. It draws a wide
-fingerprint from the document's longer words, and cuts it into pieces of 15 bits, which are replicated to the anchors of the
-(15, 11) code, and 8 bits that must agree. Within an anchor, documents that differ in few bits are linked where one
-is at home; groups larger than WINDOW are linked by minimum spanning trees over blocks, so links stay in proportion to rows. Links are kept where the
-shingles' sketch has the similarity.
+``near_duplicates`` finds documents with a Jaccard similarity of 0.8 or more over the sets of their five-word shingles. It is a
+prefix-filtered set join and finds every such pair's group: each text's shingles are put in one order of all shingles, and two
+texts that similar share one of the first ``size - ceil(0.8 size) + 1`` of each. Any one order is right; shingles that many texts hold
+come last (CARRIED of them, those counted over WINDOW times), so that few texts meet at them. Texts that meet at a shingle are compared
+by whole sets: first each with a few of the group, and then, in two groups that this did not join, every pair that sizes
+and places allow. Nothing is sampled.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; texts of fewer words than a shingle have one
 feature, the whole; equal texts are one class before links are sought; rows with a null id get the id of their group, null if
@@ -22,13 +23,15 @@ it has none; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.llm.common import ascii_words, staged, texts_of
@@ -37,18 +40,15 @@ from arbora.llm.components import components
 SEED = 42
 CHUNK = 1 << 17
 HOT_HOMES = 1024
-WIDE_SEEDS = (42, 43, 44)
-PIECES, PIECE_BITS, ANCHOR_BITS = 8, 23, 15
-LONG_WORD, LEAST_WORDS = 5, 12
-WIDE_BITS = 26
 WINDOW = 64
+CARRIED = 1 << 17
 BLOCK = 2048
-CARRIED = 128
-SKETCH_BITS = 9
-SKETCH = 1 << SKETCH_BITS
+CENTRES = 2
+FILTER_WORDS = 18
 SIMILAR = 0.8
-SLACK = 0.01
+ROUNDING = 1e-9
 SHINGLE_WORDS = 5
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -153,158 +153,152 @@ def simhash_groups(docs: DataFrame, bits: int = 2, n: int = 3) -> DataFrame:
     return rows.join(members.join(ids, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
-def _code_words() -> np.ndarray:
-    """For each point of 15 bits, the code words of the (15, 11) code within 2: its home, then up to 7 others (else -1)."""
-    points = np.arange(1 << ANCHOR_BITS)
-    near = np.full((points.size, 8), -1, np.int32)
-    syndrome = np.zeros(points.size, np.int64)
-    for place in range(1, 16):
-        syndrome ^= np.where(points >> (place - 1) & 1, place, 0)
-    near[:, 0] = np.where(syndrome, points ^ (1 << np.maximum(syndrome - 1, 0)), points)
-    for s in range(1, 16):
-        own = points[syndrome == s]
-        others = [(i, i ^ s) for i in range(1, 16) if i < i ^ s]
-        for k, (i, j) in enumerate(others, 1):
-            near[own, k] = own ^ (1 << (i - 1)) ^ (1 << (j - 1))
-    return near
+def _key(words: list[bytes]) -> int:
+    """A signed 64-bit key of the words; texts that share it are one class."""
+    whole = xxhash.xxh3_64_intdigest(b" ".join(words))
+    return whole - (1 << 64) * (whole >> 63)
 
 
-def wide_fingerprint(words: list[bytes]) -> np.ndarray:
-    """24 bytes from the distinct longer words, or from all where there are few."""
-    chosen = {w for w in words if len(w) >= LONG_WORD}
-    if len(chosen) < LEAST_WORDS:
-        chosen = set(words) | {b" ".join(p) for p in zip(words, words[1:])}
-    return np.concatenate([majority(chosen, seed) for seed in WIDE_SEEDS])
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the SHINGLE_WORDS-word shingles; the whole where there are fewer words."""
+    if len(words) < SHINGLE_WORDS:
+        return np.array([_key(words)] if words else [], np.int64)
+    hashed = np.concatenate(list(digests(words, 7))).view(">u8").reshape(-1).astype(np.uint64)
+    n = len(words) - SHINGLE_WORDS + 1
+    mixed = np.zeros(n, np.uint64)
+    for k in range(SHINGLE_WORDS):
+        mixed = (mixed ^ hashed[k : k + n]) * _FACTORS[k]
+        mixed ^= mixed >> np.uint64(31)
+    return np.unique(mixed.view(np.int64))
 
 
-def sketch(words: list[bytes], n: int = SHINGLE_WORDS) -> np.ndarray:
-    """One-permutation min-hash of the ``n``-word shingles: 16 bits of the least hash in each of SKETCH ranges; 0 is empty."""
-    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for part in digests(shingles(words, n), 7):
-        hashes = part.view(">u8").reshape(-1).astype(np.uint64)
-        np.minimum.at(least, (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), hashes << np.uint64(SKETCH_BITS))
-    values = (least >> np.uint64(SKETCH_BITS) & np.uint64(0xFFFF)).astype(np.uint16)
-    return np.where(least == np.iinfo(np.uint64).max, 0, np.maximum(values, 1)).astype(np.uint16)
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = [shingle_hashes(ascii_words(text)) for text in texts_of(batch.column(0))]
+        values, n = np.unique(np.concatenate([*hashes, np.array([], np.int64)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(values[n > 1]), pa.array(n[n > 1].astype(np.int64))], ["shingle", "n"])
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The estimated Jaccard similarity of rows of sketches; 1 where both are empty."""
-    used = ((a > 0) | (b > 0)).sum(1)
-    return np.where(used, ((a == b) & (a > 0)).sum(1) / np.maximum(used, 1), 1.0)
+def _prefixes(shipped, least: float):
+    """The shingles that a text as similar must meet one of, by place; ``shipped`` has the common ones, sorted, and their counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = shipped.value
+        for batch in batches:
+            keys, sizes, prefixes = [], [], []
+            others = batch.schema.names[:-1]
+            for text in texts_of(batch.column("text")):
+                words = ascii_words(text)
+                hashes = shingle_hashes(words)
+                at = np.searchsorted(common, hashes).clip(max=len(common) - 1)
+                order = np.lexsort((hashes, np.where(common[at] == hashes, counts[at], 0)))
+                keys.append(_key(words))
+                sizes.append(len(hashes))
+                prefixes.append(hashes[order[: len(hashes) - math.ceil(least * len(hashes) - ROUNDING) + 1]].tobytes())
+            yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], [*others, "key", "size", "prefix"])
 
-def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, prints, sketches = [], [], []
-        for text in texts_of(batch.column(1)):
-            words = ascii_words(text)
-            whole = xxhash.xxh3_64_intdigest(b" ".join(words))
-            keys.append(whole - (1 << 64) * (whole >> 63))
-            prints.append(wide_fingerprint(words).tobytes())
-            sketches.append(sketch(words).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "key", "print", "sketch"])
-
-
-def _to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    near = _code_words()
+    return run
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = batch.column(0).to_numpy()
-        packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 8 * len(WIDE_SEEDS))
-        bits = np.unpackbits(packed, axis=1).astype(np.int64)
-        prints = batch.column(1)
-        for piece in range(PIECES):
-            part = bits[:, piece * PIECE_BITS : (piece + 1) * PIECE_BITS]
-            point = part[:, :ANCHOR_BITS] @ (1 << np.arange(ANCHOR_BITS))
-            rest = part[:, ANCHOR_BITS:] @ (1 << np.arange(PIECE_BITS - ANCHOR_BITS))
-            anchors = near[point]
-            row, column = np.nonzero(anchors >= 0)
-            slots = ((piece << (PIECE_BITS - ANCHOR_BITS)) + rest[row] << ANCHOR_BITS) + anchors[row, column]
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(ids[row]), prints.take(pa.array(row)), pa.array(column == 0)], ["slot", "node", "print", "home"])
-
-
-def _tree(ids: np.ndarray, prints: np.ndarray, homes: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """The edges within ``most`` bits of a minimum spanning forest that have an end at home; others are found at their homes."""
-    n = len(ids)
-    best, parent, out = np.full(n, 1 << 30), np.zeros(n, np.int64), np.zeros(n, bool)
-    edges, at = [], 0
-    for _ in range(n - 1):
-        out[at] = True
-        apart = np.bitwise_count(prints ^ prints[at]).sum(1).astype(np.int64)
-        closer = ~out & (apart < best)
-        best[closer], parent[closer] = apart[closer], at
-        at = int(np.argmin(np.where(out, 1 << 30, best)))
-        if best[at] <= most and (homes[at] or homes[parent[at]]):
-            edges.append((int(ids[at]), int(ids[parent[at]])))
-    return edges
-
-
-def _within_anchors(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-
-        def linked(slots: np.ndarray, ids: np.ndarray, prints: np.ndarray, homes: np.ndarray) -> pa.RecordBatch:
-            edges: list[tuple[int, int]] = []
-            starts = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
-            lengths = np.diff(np.r_[starts, len(slots)])
-            large = np.repeat(lengths > WINDOW, lengths)
-            left, right = [], []
-            for k in range(1, WINDOW):
-                together = (slots[k:] == slots[:-k]) & ~large[k:]
-                if not together.any():
-                    break
-                same = np.flatnonzero(together & (homes[k:] | homes[:-k]))
-                near = same[np.bitwise_count(prints[same] ^ prints[same + k]).sum(1) <= most]
-                left.append(ids[near])
-                right.append(ids[near + k])
-            for start, length in zip(starts[lengths > WINDOW], lengths[lengths > WINDOW]):
-                for begin in range(start, start + length, BLOCK - CARRIED):  # each block starts with the end of the one before
-                    part = slice(begin, min(begin + BLOCK, start + length))
-                    edges += _tree(ids[part], prints[part], homes[part], most)
-            a = np.concatenate([*left, np.array([e[0] for e in edges], np.int64)])
-            b = np.concatenate([*right, np.array([e[1] for e in edges], np.int64)])
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        prefixes = [np.frombuffer(p, np.int64) for p in batch.column(2).to_pylist()]
+        if prefixes:
+            row = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
+            at = np.concatenate([np.arange(len(p), dtype=np.int32) for p in prefixes])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(at)], ["shingle", "node", "size", "at"])
+
+
+def _sets(shipped):
+    """Key and packed words of the texts whose key may be among those in the filter; words pack smaller than hashes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shipped.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, len(WIDE_SEEDS)), batch.column(3).to_numpy(zero_copy_only=False))
-            if held is not None:
-                rows = tuple(np.concatenate(x) for x in zip(held, rows))
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
-            if len(rows[0]) - last > 4 * BLOCK:
-                last = len(rows[0]) - CARRIED  # the anchor goes on for long: link what is here, carry on from its end
-                yield linked(*rows)
-            elif last:
-                yield linked(*(x[:last] for x in rows))
-            held = tuple(x[last:] for x in rows)
-        if held is not None:
-            yield linked(*held)
+            keys, packed = [], []
+            for text in texts_of(batch.column(0)):
+                words = ascii_words(text)
+                key = _key(words)
+                if int(wanted[(key % (1 << 64)) >> (64 - FILTER_WORDS)]) >> (key & 63) & 1:
+                    keys.append(key)
+                    packed.append(zlib.compress(b" ".join(words), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], ["key", "packed"])
 
     return run
 
 
 def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SKETCH) for i in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array(similarity(a, b) >= least - SLACK))
+        unpacked = lru_cache(256)(lambda packed: shingle_hashes(zlib.decompress(packed).split()))
+        for whole in batches:
+            for begin in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(begin, BLOCK)
+                kept = []
+                for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    a, b = map(unpacked, pair)
+                    shared = len(np.intersect1d(a, b, assume_unique=True))
+                    kept.append(shared >= least * (len(a) + len(b) - shared) - ROUNDING)
+                yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
     return run
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILAR, bits: int = WIDE_BITS) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` (a, b) of keys whose texts have the similarity, by their whole sets of shingles."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+    bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
+    words = nodes.groupBy(F.shiftrightunsigned("key", 64 - FILTER_WORDS).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    wanted = np.zeros(1 << FILTER_WORDS, np.uint64)
+    wanted[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    shipped = docs.sparkSession.sparkContext.broadcast(wanted)
+    sets = staged(docs.select("text").mapInArrow(_sets(shipped), "key long, packed binary").groupBy("key").agg(F.first("packed").alias("packed")))
+    left, right = (sets.select(F.col("key").alias(n), F.col("packed").alias(f"{n}_packed")).hint("merge") for n in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_packed", "b_packed").mapInArrow(_similar(least), "a long, b long")
+
+
+def _may_be_similar(least: float) -> Column:
+    """Of rows that meet at a shingle: whether sizes and what is left from there on allow the similarity."""
+    left = F.least(F.col("size") - F.col("at"), F.col("other.size") - F.col("other.at"))
+    enough = left >= F.lit(least / (1 + least)) * (F.col("size") + F.col("other.size")) - ROUNDING
+    return (F.least("size", "other.size") >= F.lit(least) * F.greatest("size", "other.size") - ROUNDING) & enough
+
+
+def _ordered_pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct()
+
+
+def near_groups(docs: DataFrame, least: float = SIMILAR, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, root (the key of its group) and ``carried`` columns of each row; see near_duplicates."""
+    context = docs.sparkSession.sparkContext
+    counted = docs.select("text").mapInArrow(_repeated, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    common = counted.filter(F.col("n") > WINDOW).orderBy(F.desc("n"), "shingle").limit(CARRIED).toPandas().sort_values("shingle")
+    shipped = context.broadcast((np.r_[common["shingle"].to_numpy(np.int64), np.iinfo(np.int64).max], np.r_[common["n"].to_numpy(np.int64), 0]))
+    more = [f for f in docs.schema if f.name in carried]
+    schema = ", ".join(["doc_id long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in more), "key long, size int, prefix binary"])
+    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(f.name for f in more), "text").mapInArrow(_prefixes(shipped, least), schema))
+    classes = rows.groupBy("key").agg(F.first(F.struct("size", "prefix")).alias("x")).select("key", "x.size", "x.prefix")
+    listed = classes.mapInArrow(_listed, "shingle long, node long, size int, at int")
+    shared = staged(listed.withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).filter("n > 1").drop("n"))
+    row = F.struct("node", "size", "at")
+    centres = shared.groupBy("shingle").agg(*(F.min_by(row, F.xxhash64("node", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)))
+    centres = centres.select("shingle", F.explode(F.array(*(f"c{i}" for i in range(CENTRES)))).alias("other"))
+    tried = staged(_ordered_pairs(shared.join(centres.hint("merge"), "shingle").filter(F.col("node") != F.col("other.node")).filter(_may_be_similar(least))))
+    kept = staged(_verified(docs, tried, least))
+    roots = components(kept).withColumnRenamed("root", "r")
+    rooted = shared.join(roots.hint("merge"), "node", "left").withColumn("r", F.coalesce("r", "node"))
+    apart = rooted.groupBy("shingle").agg(F.min("r").alias("low"), F.max("r").alias("high")).filter("low <> high").select("shingle")
+    rooted = staged(rooted.join(apart.hint("merge"), "shingle"))
+    others = rooted.select("shingle", F.struct("node", "size", "at", "r").alias("other")).hint("merge")
+    met = rooted.join(others, "shingle").filter((F.col("node") < F.col("other.node")) & (F.col("r") != F.col("other.r"))).filter(_may_be_similar(least))
+    untried = staged(_ordered_pairs(met).join(tried.hint("merge"), ["a", "b"], "left_anti"))
+    if not untried.isEmpty():
+        roots = components(kept.unionByName(_verified(docs, untried, least))).withColumnRenamed("root", "r")
+    roots = roots.withColumnRenamed("node", "key")
+    return rows.select("doc_id", *(f.name for f in more), "key").join(roots, "key", "left").withColumn("root", F.coalesce("r", "key")).drop("key", "r")
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id and component_id of each row: documents linked by equal words or by a similarity of ``least`` or more."""
-    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_wide, "doc_id long, key long, print binary, sketch binary"))
-    classes = staged(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("print", "sketch"), F.coalesce("doc_id", F.lit(0))).alias("x")).select("key", "least", "x.print", "x.sketch"))
-    replicas = classes.select("key", "print").mapInArrow(_to_anchors, "slot long, node long, print binary, home boolean")
-    near = replicas.repartition("slot").sortWithinPartitions("slot", "print", "node").mapInArrow(_within_anchors(bits), "a long, b long").distinct()
-    left, right = (classes.select(F.col("key").alias(n), F.col("sketch").alias(f"{n}_sketch")) for n in ("a", "b"))
-    kept = near.join(left, "a").join(right, "b").select("a", "b", "a_sketch", "b_sketch").mapInArrow(_similar(least), "a long, b long")
-    roots = components(kept).withColumnRenamed("node", "key")
-    members = classes.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    ids = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "key").join(members.join(ids, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    rows = staged(near_groups(docs, least))
+    ids = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(ids, "root").select("doc_id", "component_id")

@@ -75,3 +75,31 @@ def test_near_duplicates(docs_of, monkeypatch):
     assert all(found[i] == i for i in range(len(copies) + 1, len(copies) + 31))
     assert found[len(texts) - 2] == len(texts) - 3 and found[len(texts) - 1] == len(texts) - 1
     assert near_duplicates(docs_of([])).collect() == []
+
+
+def brute_groups(texts):
+    """The least index reachable over pairs of 0.8 or more, by whole sets."""
+    sets = []
+    for t in texts:
+        words = t.lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    group = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if group[a] != group[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group = [new if g == old else g for g in group]
+    return group
+
+
+def test_tails_against_brute_force(docs_of):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(rng.randint(100, 400))]
+        n = len(base)
+        texts += [base, base[: int(n * 0.83)], base[: int(n * 0.79)], base + [rng.choice(words) for _ in range(int(n * 0.22))]]
+        texts += [base[int(n * 0.1) :] + [rng.choice(words) for _ in range(int(n * 0.1))]]
+    texts = [" ".join(t) for t in texts]
+    found = {r.doc_id: r.component_id for r in near_duplicates(docs_of(texts)).collect()}
+    assert [found[i] for i in range(len(texts))] == brute_groups(texts)
