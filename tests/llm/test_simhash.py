@@ -103,3 +103,20 @@ def test_tails_against_brute_force(docs_of):
     texts = [" ".join(t) for t in texts]
     found = {r.doc_id: r.component_id for r in near_duplicates(docs_of(texts)).collect()}
     assert [found[i] for i in range(len(texts))] == brute_groups(texts)
+
+
+def test_templated_pages_against_brute_force(docs_of):
+    """Pages of the same long words that differ in numbers: all meet at common shingles, and only some are near copies."""
+    rng = random.Random(11)
+    fixed = ["heading%02d" % i for i in range(14)]
+    texts = []
+    for i in range(150):
+        page = fixed + [str(rng.randint(0, 9999)) for _ in range(90)]
+        texts.append(page)
+        if i % 5 == 0:
+            at = rng.randrange(30, 90)
+            texts.append(page[:at] + [str(rng.randint(0, 9999))] + page[at + 1 :])
+    texts = [" ".join(t) for t in texts]
+    found = {r.doc_id: r.component_id for r in near_duplicates(docs_of(texts)).collect()}
+    groups = brute_groups(texts)
+    assert [found[i] for i in range(len(texts))] == groups and len(set(groups)) == 150
