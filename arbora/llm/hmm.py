@@ -36,7 +36,7 @@ CLASSES = 1 << 13
 STATES = 6
 SAMPLE_DOCS = 400
 SAMPLE_ROUNDS = 15
-CORPUS_ROUNDS = 1
+CORPUS_ROUNDS = 2
 PRIOR_TOKENS = 200.0
 HELD_COUNTS = 500_000
 CELL_TOKENS = 1 << 19

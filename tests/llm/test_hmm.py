@@ -89,3 +89,10 @@ def test_head_does_not_change_scores(docs_of):
 
 def test_empty(docs_of):
     assert score(docs_of([])).collect() == []
+
+
+def test_corpus_rounds_raise_likelihood(docs_of):
+    rng = random.Random(2)
+    docs = docs_of([" ".join(rng.choice(p) for _ in range(30)) for p in ("abcd", "efgh", "aceg") for _ in range(20)])
+    total = lambda **rounds: sum(r.score for r in score(docs, classes=9, states=3, **rounds).collect() if not r.held_out)
+    assert hmm.CORPUS_ROUNDS >= 2 and total() == pytest.approx(total(rounds=hmm.CORPUS_ROUNDS)) and total() > total(rounds=0)
