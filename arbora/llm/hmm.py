@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from arbora.llm.common import ascii_words, id_bucket, row_key, staged
 
 END = b"\n"
+COPY = b""  # no token: marks the rows that share a key
 ADDED = 0.1
 HEAD = 1 << 17
 CLASSES = 1 << 13
@@ -264,7 +265,7 @@ def _scored(shipped):
                 texts.append(_symbols_of(own, symbols))
                 out.append((row, doc_id, held_out, len(own), known, base, rare, None, None))
                 if more:
-                    tail.append((row, END, 1))  # counts the rows that share a key
+                    tail.append((row, COPY, 1))
                     tail += [(row, w, n) for w, n in more.items()]
             if not out:
                 continue
@@ -298,7 +299,7 @@ def score(docs: DataFrame, folds: int = 10, head: int = HEAD, classes: int = CLA
         return rows.select(*fields)
     rows = staged(rows)
     seen = rows.filter("word IS NOT NULL").select("row", "word", "times").join(counted, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    is_word = F.col("word") != F.lit(END)
+    is_word = F.col("word") != F.lit(COPY)
     log = F.log10(F.col("n") + ADDED)
     tails = seen.groupBy("row").agg(
         F.sum(F.when(~is_word, F.col("times"))).alias("copies"),

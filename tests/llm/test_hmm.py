@@ -91,6 +91,12 @@ def test_empty(docs_of):
     assert score(docs_of([])).collect() == []
 
 
+def test_end_outside_of_the_head(docs_of):
+    rows = [(i, "w x y z " * 3 + extra, "s") for i, extra in enumerate(("rare", "rare words", "none"))] * 2
+    whole, cut = ({r.doc_id: (r.n_known, r.base_score, r.score) for r in score(docs_of(rows), head=h, classes=2, states=2).collect()} for h in (1 << 17, 4))
+    assert all(whole[i] == pytest.approx(cut[i]) for i in whole) and len(cut) == 3
+
+
 def test_corpus_rounds_raise_likelihood(docs_of):
     rng = random.Random(2)
     docs = docs_of([" ".join(rng.choice(p) for _ in range(30)) for p in ("abcd", "efgh", "aceg") for _ in range(20)])
