@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from arbora.llm.common import staged
 
-SUPPORT = 0.002
+SUPPORT = 0.0
 LEAST_ROWS = 10
 CONFIDENCE = 0.5
 BROADCAST_RULES = 100_000
@@ -80,13 +80,13 @@ def tokens_of(url: Column) -> Column:
 
 
 def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """(rule, tokens, confidence, support) from rows of tokens and bad (boolean); a rule needs both a share and a number of rows."""
+    """(rule, tokens, confidence, support) from rows of tokens and bad (boolean); a rule needs a number of rows, the same at any size, and a share only if asked."""
     baskets = staged(labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")))
     empty = "rule string, tokens array<string>, confidence double, support long"
     rows = baskets.count()
     if rows < least_rows or not rows:
         return labelled.sparkSession.createDataFrame([], empty)
-    frequent = staged(FPGrowth(itemsCol="items", minSupport=max(support, least_rows / rows), minConfidence=confidence).fit(baskets).freqItemsets)
+    frequent = staged(FPGrowth(itemsCol="items", minSupport=max(support, (least_rows - 0.5) / rows), minConfidence=confidence).fit(baskets).freqItemsets)
     key = lambda items: F.array_join(F.array_sort(items), "\n")
     bad = frequent.filter(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("support")).withColumn("rule", key(F.col("tokens")))
     sure = bad.join(frequent.select(key(F.col("items")).alias("rule"), "freq"), "rule").withColumn("confidence", F.col("support") / F.col("freq")).filter(F.col("confidence") >= confidence)

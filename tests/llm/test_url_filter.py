@@ -44,3 +44,9 @@ def test_rules_of_fewer_tokens_win(spark):
 def test_tokens(spark):
     found = spark.createDataFrame([("http://M.x.org/a/b.HTML?q=1&r#t",), ("nothing",), ("",)], "url string").select(tokens_of(F.col("url")).alias("t")).collect()
     assert set(found[0].t) == {"host0:org", "host1:x", "host2:m", "path0:a", "path1:b.HTML", "ext:html", "field:q", "field:r"} and found[1].t == [] and found[2].t == []
+
+
+def test_sparse_hosts_keep_their_rule_as_rows_grow(spark):
+    rows = [(["host1:bad"], True)] * 10 + [(["host1:few"], True)] * 9 + [(["host1:good%d" % (i % 90)], False) for i in range(6000)]
+    rules = mined_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
+    assert [(r.rule, r.support) for r in rules] == [("host1:bad", 10)]
