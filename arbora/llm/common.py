@@ -19,6 +19,11 @@ def row_key(*columns: str | Column) -> Column:
     return F.xxhash64(*parts)
 
 
+def row_keys(*columns: str) -> list[Column]:
+    """``row_key`` and a second hash in the reverse order: 128 bits that tell rows apart at any size."""
+    return [row_key(*columns), row_key(*reversed(columns))]
+
+
 def id_bucket(column: str, buckets: int) -> Column:
     """crc32 of an id as text, modulo ``buckets``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets
