@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.sources.staging import staged as staged
@@ -46,3 +46,12 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
 def ascii_words(text: bytes) -> list[bytes]:
     """Maximal runs of anything but the six ASCII spaces, A-Z lower-cased."""
     return text.lower().split()
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with ``name``, their rank from 0 in ``order``, by ranks within ranges and counts of the ranges before."""
+    dealt = staged(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))  # as many rows as partitions
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return dealt.withColumn("__within", within).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__within")).drop("__part", "__within", "__before")

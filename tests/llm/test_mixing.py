@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from arbora.llm import mixing
 from arbora.llm.mixing import mix
 
 
@@ -41,3 +42,30 @@ def test_against_brute_force(docs_of, block):
 def test_empty(docs_of):
     assert mix(docs_of([])).collect() == []
     assert [r.taken for r in mix(docs_of([None, " \t"])).collect()] == [0, 0]
+
+
+def test_the_schedule_decides(docs_of, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, f"t{i} " * (1 + rng.randrange(40)), "abc"[i % 3]) for i in range(300)]
+    taken = lambda: {r.doc_id: (r.taken, r.first_slot) for r in mix(docs_of(rows), 50).collect()}
+    golden = taken()
+    monkeypatch.setattr(mixing, "GOLDEN", 0.1234)
+    other = taken()
+    assert sum(golden[i][0] != other[i][0] for i in golden) > 30
+    assert sum(t for t, _ in golden.values()) == sum(t for t, _ in other.values())
+    assert all((t == 0) == (slot is None) for t, slot in golden.values())
+
+
+def test_every_stretch_holds_the_sources_in_proportion(docs_of):
+    rows = [(i, "w " * 20, "abcd"[i % 4]) for i in range(400)]
+    found = [r for r in mix(docs_of(rows), 20).collect() if r.first_slot is not None]
+    goal = {r.source: r.target for r in found}
+    early = [r.source for r in found if r.first_slot <= 100]
+    for s in goal:
+        assert abs(early.count(s) / len(early) - goal[s] / sum(goal.values())) < 0.1
+
+
+def test_documents_repeat_only_where_a_source_is_used_up(docs_of):
+    rows = [(i, "w " * 30, "a" if i % 10 else "b") for i in range(300)]
+    for r in mix(docs_of(rows), 30).collect():
+        assert r.taken <= r["size"] or r.target > r.source_size
