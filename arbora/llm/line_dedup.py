@@ -2,8 +2,9 @@
 
 A line's key is the line without ASCII spaces at its ends and with A-Z lower-cased. Keys are hashed to 128 bits: 64 address a
 shard and its perfect hash, 32 are kept as the slot's fingerprint. Each shard holds a levelled bit-array hash and two arrays,
-fingerprints and document counts. The documents' distinct keys go to the shards as fixed-size rows, each shard dealt over as
-many salts as its busiest line asks for, and probe the arrays there; only the keys found common travel back.
+fingerprints and document counts. The documents' distinct keys go to the shards as fixed-size rows and probe the arrays there;
+only the keys found common travel back. A shard is copied to as many salts as its own rows ask for; the salts of shards that
+need more than one are broadcast up to BROADCAST_SHARDS of them and joined beyond that.
 
 Defined cases: a null or empty text is one empty line; empty keys are never dropped; each row counts as a document, also where
 ids repeat or are null; an empty table gives an empty result; further columns pass through, and a column with the name of a
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from arbora.llm.common import ASCII_SPACE, row_key, staged
+from arbora.llm.common import ASCII_SPACE, row_keys, staged, texts_of
 
 SHARD_KEYS = 1 << 17
-SALT_ROWS = 1 << 16
+SALT_ROWS = 1 << 18
+BROADCAST_SHARDS = 1_000_000
+ROW = ["k1", "k2"]
 MOST_COUNTED = (1 << 16) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,14 +130,15 @@ class Shard:
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, keys, prints = [], [], []
-        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
-            for key in set(line_keys(text or b"")):
+        for row, text in enumerate(texts_of(batch.column(2))):
+            for key in set(line_keys(text)):
                 if key:
                     address, fingerprint = hashed(key)
                     rows.append(row)
                     keys.append(address)
                     prints.append(fingerprint)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(keys, pa.int64()), pa.array(prints, pa.int32())], ["row", "key", "print"])
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(keys, pa.int64()), pa.array(prints, pa.int32())], [*ROW, "key", "print"])
 
 
 def _shard_of(group: pd.DataFrame) -> pd.DataFrame:
@@ -149,44 +153,47 @@ def _probe(least: int):
             kinds = batch.column(2).to_numpy(zero_copy_only=False)
             starts = np.flatnonzero(kinds == 0)
             edges = [0, *starts, len(kinds)]
-            rows, keys, prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5))
+            k1s, k2s, keys, prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 6))
             for begin, end in zip(edges, edges[1:]):
                 if begin < end and kinds[begin] == 0:
-                    shard = Shard(batch.column(6)[int(begin)].as_py())
+                    shard = Shard(batch.column(7)[int(begin)].as_py())
                     begin += 1
                 if begin < end:
                     common = shard.counted(keys[begin:end], prints[begin:end]) >= least
                     if common.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(x[begin:end][common]) for x in (rows, keys, prints)], ["row", "key", "print"])
+                        yield pa.RecordBatch.from_arrays([pa.array(x[begin:end][common]) for x in (k1s, k2s, keys, prints)], [*ROW, "key", "print"])
 
     return run
 
 
-def common_lines(docs: DataFrame, least_docs: int = 10, text: str = "text", key: str = "__row") -> DataFrame:
-    """(row, key, print) of each line key that ``least_docs`` rows or more hold, for each row of ``docs`` that holds it."""
-    lines = staged(docs.select(F.col(key).alias("row"), F.col(text).alias("text")).mapInArrow(_emit_keys, "row long, key long, print int"))
+def _with_salts(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    return rows.join(hot, "shard", "left").withColumn("salts", F.coalesce("salts", F.lit(1).cast("long")))
+
+
+def common_lines(docs: DataFrame, least_docs: int = 10) -> DataFrame:
+    """(k1, k2, key, print) of each line key that ``least_docs`` rows or more hold, for each row of ``docs`` (k1, k2, text) that holds it."""
+    lines = staged(docs.mapInArrow(_emit_keys, "k1 long, k2 long, key long, print int"))
     counts = staged(lines.groupBy("key", "print").agg(F.count("*").alias("n")))
     distinct = counts.count()
     shards = max(1, math.ceil(distinct / SHARD_KEYS))
     counts = counts.withColumn("shard", F.pmod("key", F.lit(shards)))
-    busiest = counts.groupBy("shard").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
-    salts = max(1, math.ceil(busiest / SALT_ROWS))
+    hot = staged(counts.groupBy("shard").agg(F.ceil(F.sum("n") / SALT_ROWS).alias("salts")).filter("salts > 1"))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_SHARDS else hot
     index = counts.groupBy("shard").applyInPandas(_shard_of, "shard long, blob binary")
-    nothing = [F.lit(0).cast(t).alias(n) for n, t in (("row", "long"), ("key", "long"), ("print", "int"))]
-    arrays = index.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(0).alias("kind"), *nothing, "blob")
-    probes = lines.select(F.pmod("key", F.lit(shards)).alias("shard"), F.pmod("row", F.lit(salts)).alias("salt"), F.lit(1).alias("kind"), "row", "key", "print", F.lit(None).cast("binary").alias("blob"))
-    return arrays.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(_probe(least_docs), "row long, key long, print int")
+    nothing = [F.lit(0).cast(t).alias(n) for n, t in (("k1", "long"), ("k2", "long"), ("key", "long"), ("print", "int"))]
+    arrays = _with_salts(index, hot).select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *nothing, "blob")
+    probes = _with_salts(lines.withColumn("shard", F.pmod("key", F.lit(shards))), hot).select("shard", F.pmod("k1", "salts").alias("salt"), F.lit(1).alias("kind"), *ROW, "key", "print", F.lit(None).cast("binary").alias("blob"))
+    return arrays.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(_probe(least_docs), "k1 long, k2 long, key long, print int")
 
 
 def _rebuild(text: str, schema: pa.Schema | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            texts = batch.column(names.index(text)).cast(pa.large_binary()).to_pylist()
+            texts = texts_of(batch.column(names.index(text)))
             drops = batch.column(names.index("__drop")).to_pylist()
             kept, before, gone = [], [], []
             for whole, drop in zip(texts, drops):
-                whole = whole or b""
                 lines = whole.split(b"\n")
                 if drop:
                     unwanted = {(d["key"], d["print"]) for d in drop}
@@ -196,7 +203,7 @@ def _rebuild(text: str, schema: pa.Schema | None = None):
                 kept.append(b"\n".join(keep))
                 before.append(len(lines))
                 gone.append(len(lines) - len(keep))
-            out = {n: batch.column(i) for i, n in enumerate(names) if n not in ("__row", "__drop")}
+            out = {n: batch.column(i) for i, n in enumerate(names) if n != "__drop"}
             out |= {text: pa.array(kept, pa.binary()).cast(pa.string()), "n_lines": pa.array(before, pa.int64()), "n_dropped": pa.array(gone, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
@@ -205,9 +212,10 @@ def _rebuild(text: str, schema: pa.Schema | None = None):
 
 def dedup_lines(docs: DataFrame, least_docs: int = 10, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every line dropped whose key stands in ``least_docs`` rows or more, and with n_lines and n_dropped."""
-    docs = docs.drop("n_lines", "n_dropped", "__row", "__drop")
-    keyed = docs.withColumn("__row", row_key(id_column, text))
-    common = common_lines(keyed, least_docs, text)
-    drops = common.groupBy("row").agg(F.collect_set(F.struct("key", "print")).alias("__drop")).withColumnRenamed("row", "__row")
+    docs = docs.drop("n_lines", "n_dropped", "__drop")
+    mine = row_keys(id_column, text)
+    common = common_lines(docs.select(*(k.alias(n) for k, n in zip(mine, ROW)), F.col(text).alias("text")), least_docs)
+    drops = common.groupBy(*ROW).agg(F.collect_set(F.struct("key", "print")).alias("__drop")).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "__drop")
     schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
-    return keyed.join(drops, "__row", "left").mapInArrow(_rebuild(text), schema)
+    met = docs.join(drops, (mine[0] == F.col("__k1")) & (mine[1] == F.col("__k2")), "left").drop("__k1", "__k2")
+    return met.mapInArrow(_rebuild(text), schema)
