@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.llm.common import ascii_words, id_bucket, row_key, staged
+from arbora.llm.common import ascii_words, id_bucket, row_keys, staged, texts_of
 
 END = b"\n"
 COPY = b""  # no token: marks the rows that share a key
@@ -152,8 +152,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
     for batch in batches:
-        for text in batch.column(0).cast(pa.large_binary()).to_pylist():
-            held.update(tokens(text or b""))
+        for text in texts_of(batch.column(0)):
+            held.update(tokens(text))
             if len(held) > HELD_COUNTS:
                 yield out()
                 held.clear()
@@ -210,7 +210,7 @@ def _expectation(shipped):
         k, rows = len(model.start), len(model.emissions)
         table = np.zeros((rows + k + 1, k))
         for batch in batches:
-            texts = [_symbols_of(tokens(t or b""), symbols) for t in batch.column(0).cast(pa.large_binary()).to_pylist()]
+            texts = [_symbols_of(tokens(t), symbols) for t in texts_of(batch.column(0))]
             if texts:
                 starts, moves, emissions = expected(texts, model)
                 table[:rows] += emissions
@@ -236,8 +236,8 @@ def baum_welch(texts: DataFrame, words: Vocabulary, model: Model, rounds: int =
 
 
 def _scored(shipped):
-    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "times"]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
+    names = ["k1", "k2", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "times"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, model, whole = shipped.value
@@ -247,8 +247,8 @@ def _scored(shipped):
         unseen = math.log10(ADDED)
         for batch in batches:
             out, texts, tail = [], [], []
-            for row, doc_id, held_out, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).cast(pa.large_binary()).to_pylist()):
-                own = tokens(text or b"")
+            for k1, k2, doc_id, held_out, text in zip(*(batch.column(i).to_pylist() for i in range(4)), texts_of(batch.column(4))):
+                own = tokens(text)
                 known, base, rare, more = 0, 0.0, 0.0, {}
                 for word, times in Counter(own).items():
                     log = logs.get(word)
@@ -263,19 +263,19 @@ def _scored(shipped):
                     if word not in symbols:
                         rare += times * (log - rare_log)
                 texts.append(_symbols_of(own, symbols))
-                out.append((row, doc_id, held_out, len(own), known, base, rare, None, None))
+                out.append((k1, k2, doc_id, held_out, len(own), known, base, rare, None, None))
                 if more:
-                    tail.append((row, COPY, 1))
-                    tail += [(row, w, n) for w, n in more.items()]
+                    tail.append((k1, k2, COPY, 1))
+                    tail += [(k1, k2, w, n) for w, n in more.items()]
             if not out:
                 continue
             columns = [list(c) for c in zip(*out)]
-            columns[6] = list(np.array(columns[6]) + likelihoods(texts, model))
+            columns[7] = list(np.array(columns[7]) + likelihoods(texts, model))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
             if tail:
-                rows, tail_words, times = (list(c) for c in zip(*tail))
-                empty = [pa.nulls(len(rows), t) for t in types[1:7]]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *empty, pa.array(tail_words, pa.binary()), pa.array(times, pa.int64())], names)
+                k1s, k2s, tail_words, times = (list(c) for c in zip(*tail))
+                empty = [pa.nulls(len(k1s), t) for t in types[2:8]]
+                yield pa.RecordBatch.from_arrays([pa.array(k1s, pa.int64()), pa.array(k2s, pa.int64()), *empty, pa.array(tail_words, pa.binary()), pa.array(times, pa.int64())], names)
 
     return run
 
@@ -292,22 +292,25 @@ def score(docs: DataFrame, folds: int = 10, head: int = HEAD, classes: int = CLA
     model = baum_welch(training, words, model, rounds)
     whole = words.distinct <= len(words.head)
     shipped = docs.sparkSession.sparkContext.broadcast((words, model, whole))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, times long"
-    rows = docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(_scored(shipped), schema)
+    schema = "k1 long, k2 long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, times long"
+    row = ["k1", "k2"]
+    rows = docs.select(*(k.alias(n) for k, n in zip(row_keys("doc_id", "text"), row)), F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(_scored(shipped), schema)
     fields = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score"]
     if whole:
         return rows.select(*fields)
     rows = staged(rows)
-    seen = rows.filter("word IS NOT NULL").select("row", "word", "times").join(counted, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    is_word = F.col("word") != F.lit(COPY)
+    is_copy = F.col("word") == F.lit(COPY)
+    # one mark a text, as many as texts: they must not meet the counts, where they would all be one key
+    copies = rows.filter(is_copy).select(*row, "times", F.lit(None).cast("long").alias("n"))
+    seen = rows.filter(~is_copy).select(*row, "word", "times").join(counted, "word", "left").select(*row, "times", F.coalesce("n", F.lit(0)).alias("n"))
     log = F.log10(F.col("n") + ADDED)
-    tails = seen.groupBy("row").agg(
-        F.sum(F.when(~is_word, F.col("times"))).alias("copies"),
-        F.sum(F.when(is_word & (F.col("n") > 0), F.col("times")).otherwise(0)).alias("tail_known"),
-        F.sum(F.when(is_word, F.col("times") * (log - math.log10(words.base_total))).otherwise(0.0)).alias("tail_base"),
-        F.sum(F.when(is_word, F.col("times") * (log - math.log10(words.rare_total))).otherwise(0.0)).alias("tail_rare"),
+    tails = copies.unionByName(seen).groupBy(*row).agg(
+        F.sum(F.when(F.col("n").isNull(), F.col("times"))).alias("copies"),
+        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known"),
+        F.coalesce(F.sum(F.col("times") * (log - math.log10(words.base_total))), F.lit(0.0)).alias("tail_base"),
+        F.coalesce(F.sum(F.col("times") * (log - math.log10(words.rare_total))), F.lit(0.0)).alias("tail_rare"),
     )
     share = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))
-    joined = rows.filter("word IS NULL").join(tails, "row", "left")
+    joined = rows.filter("word IS NULL").join(tails, row, "left")
     joined = joined.withColumn("n_known", (F.col("n_known") + share("tail_known")).cast("long")).withColumn("base_score", F.col("base_score") + share("tail_base")).withColumn("score", F.col("score") + share("tail_rare"))
     return joined.select(*fields)
