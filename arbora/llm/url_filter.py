@@ -1,9 +1,9 @@
 """URL filters: fixed host and path rules first, then association rules mined from labels by FP-growth.
 
-A labelled URL is a basket of its tokens (labels of the host with their place from the right, directories of the path with
+What is known of URLs comes from two sides: the fixed rules' own verdicts, and labels where no rule fits. A known URL is a basket of its tokens (labels of the host with their place from the right, directories of the path with
 their place, the extension, names of query fields) and its label. FP-growth finds frequent baskets; those that hold the label
-to block give rules "tokens -> block". A rule stays if its confidence and support suffice and no rule of fewer of its tokens
-is as sure. Rules match by an inverted index: each is listed under its rarest token, a URL looks up its tokens and holds a rule
+to block give rules "tokens -> block". A rule stays if its support, its confidence and its lift over the share of bad URLs
+suffice and no rule of fewer of its tokens is as sure. The rules carry over to URLs that no fixed rule fits. Rules match by an inverted index: each is listed under its rarest token, a URL looks up its tokens and holds a rule
 if it has all of the rule's.
 
 Defined cases: a URL that is null or has no ``://`` has empty host and path, no token, and fits no rule; labels that are null
@@ -24,6 +24,7 @@ from arbora.llm.common import staged
 SUPPORT = 0.0
 LEAST_ROWS = 10
 CONFIDENCE = 0.5
+LIFT = 1.5
 BROADCAST_RULES = 100_000
 BAD = "label:bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,17 +80,17 @@ def tokens_of(url: Column) -> Column:
     )
 
 
-def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least_rows: int = LEAST_ROWS) -> DataFrame:
+def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least_rows: int = LEAST_ROWS, lift: float = LIFT) -> DataFrame:
     """(rule, tokens, confidence, support) from rows of tokens and bad (boolean); a rule needs a number of rows, the same at any size, and a share only if asked."""
     baskets = staged(labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")))
     empty = "rule string, tokens array<string>, confidence double, support long"
-    rows = baskets.count()
-    if rows < least_rows or not rows:
+    rows, bad_rows = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", BAD))).first()
+    if rows < least_rows or not bad_rows:
         return labelled.sparkSession.createDataFrame([], empty)
     frequent = staged(FPGrowth(itemsCol="items", minSupport=max(support, (least_rows - 0.5) / rows), minConfidence=confidence).fit(baskets).freqItemsets)
     key = lambda items: F.array_join(F.array_sort(items), "\n")
     bad = frequent.filter(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("support")).withColumn("rule", key(F.col("tokens")))
-    sure = bad.join(frequent.select(key(F.col("items")).alias("rule"), "freq"), "rule").withColumn("confidence", F.col("support") / F.col("freq")).filter(F.col("confidence") >= confidence)
+    sure = bad.join(frequent.select(key(F.col("items")).alias("rule"), "freq"), "rule").withColumn("confidence", F.col("support") / F.col("freq")).filter(F.col("confidence") >= max(confidence, lift * bad_rows / rows))
     sure = staged(sure.select("rule", "tokens", "confidence", "support"))
     # a rule is one of another's tokens at most once under each of them, so they meet by token
     shorter = sure.select(F.col("rule").alias("part"), F.col("tokens").alias("part_tokens"), F.col("confidence").alias("part_confidence"), F.element_at("tokens", 1).alias("token"))
@@ -115,11 +116,15 @@ def matched(urls: DataFrame, index: DataFrame) -> DataFrame:
     return held.groupBy("url").agg(F.max(F.struct("confidence", "rule")).alias("best")).select("url", F.col("best.confidence").alias("mined_confidence"), F.col("best.rule").alias("mined_rule"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """page_id, host, path, rule, verdict, mined_rule and mined_confidence of each row of ``pages`` (page_id, url)."""
-    bad = labels.filter("quality IS NOT NULL").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
-    labelled = pages.select("page_id", "url").join(bad, "page_id").select(tokens_of(F.coalesce("url", F.lit(""))).alias("tokens"), "bad").filter(F.size("tokens") > 0)
-    found = staged(matched(pages, inverted_index(staged(mined_rules(labelled)))))
+def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...], document: Column | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, mined_rule and mined_confidence of each row of ``pages`` (page_id, url).
+
+    ``document`` is the id that ``labels`` (doc_id, quality) know a page by, its page_id if none is given."""
+    bad = labels.filter("quality IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg((F.min("quality") == 0).alias("labelled"))
+    _, by_rule = fixed_rule(rules, host_of(F.col("url")), path_of(F.col("url")))
+    mine = pages.select("url", (F.col("page_id") if document is None else document).cast("long").alias("__id"), by_rule.alias("by_rule")).join(bad, "__id", "left")
+    known = mine.select(tokens_of(F.coalesce("url", F.lit(""))).alias("tokens"), F.coalesce(F.col("by_rule") == "block", "labelled").alias("bad"))
+    found = staged(matched(pages, inverted_index(staged(mined_rules(known.filter((F.size("tokens") > 0) & F.col("bad").isNotNull()))))))
     text, verdict = fixed_rule(rules, F.col("host"), F.col("path"))
     parted = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).join(found, "url", "left")
     mined = F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")

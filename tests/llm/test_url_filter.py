@@ -37,7 +37,7 @@ def test_mined_rules_block(spark):
 
 def test_rules_of_fewer_tokens_win(spark):
     rows = [(["a", "b"], True)] * 6 + [(["a", "c"], True)] * 2 + [(["b"], False)] * 6
-    rules = {r.rule: r.confidence for r in mined_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.1, 0.5, 1).collect()}
+    rules = {r.rule: r.confidence for r in mined_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.1, 0.5, 1, 0.0).collect()}
     assert rules == {"a": 1.0, "b": 0.5, "c": 1.0} and mined_rules(spark.createDataFrame([], "tokens array<string>, bad boolean")).collect() == []
 
 
@@ -50,3 +50,13 @@ def test_sparse_hosts_keep_their_rule_as_rows_grow(spark):
     rows = [(["host1:bad"], True)] * 10 + [(["host1:few"], True)] * 9 + [(["host1:good%d" % (i % 90)], False) for i in range(6000)]
     rules = mined_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()
     assert [(r.rule, r.support) for r in rules] == [("host1:bad", 10)]
+
+
+def test_fixed_verdicts_teach_and_lift_prunes(spark):
+    """Where /win/ stands under blocked hosts only, it blocks elsewhere; /en/ stands under both and does not."""
+    rows = [(i, f"http://h{i}.net/{'win' if i % 2 else 'en'}/{i}") for i in range(40)] + [(100 + i, f"http://x{i}.org/fr/{i}") for i in range(30)]
+    rows += [(200, "http://y.org/win/1"), (201, "http://y.org/en/1"), (202, None)]
+    labels = spark.createDataFrame([(200 + i, 1, 0) for i in range(2)], "doc_id long, quality int, toxic int")
+    found = {r.page_id: r for r in judge(spark.createDataFrame(rows, "page_id long, url string"), labels, RULES).collect()}
+    assert (found[200].rule, found[200].verdict, found[200].mined_rule) == (None, "block", "path0:win")
+    assert found[202].verdict == "allow" and all(found[100 + i].verdict == "allow" for i in range(30))
