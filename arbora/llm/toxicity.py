@@ -10,7 +10,7 @@ hash buckets, a fixed-size array, go to the executors.
 
 Training takes TRAIN_DOCS labelled documents at most, those with the least hash of the id. Defined cases: null and empty texts
 get the score of an empty bag; labels that are null are no labels, of repeated labels the greatest counts; with no labels or
-a single class the score is the same for all; repeated rows are scored alike; further columns are ignored.
+a single class the score is the same for all; of texts that share an id the least one trains; repeated rows are scored alike; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbora.llm.common import texts_of
+
 TRAIN_DOCS = 6000
 NEGATIVES = 3
 BUCKETS = 1 << 16
@@ -63,10 +65,11 @@ class Bags:
         return np.add.reduceat(parts[self.flat], self.starts[:-1]) / np.diff(self.starts)
 
     def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of some words and the weight of each in the words' average."""
-        lengths = self.starts[words + 1] - self.starts[words]
-        offsets = np.repeat(self.starts[words] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
-        return self.flat[offsets], np.repeat(1.0 / (lengths * len(words)), lengths)
+        """Buckets of some words and the weight of each in the words' average; a word that recurs is looked up once."""
+        once, times = np.unique(words, return_counts=True)
+        lengths = self.starts[once + 1] - self.starts[once]
+        offsets = np.repeat(self.starts[once] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
+        return self.flat[offsets], np.repeat(times / (lengths * len(words)), lengths)
 
 
 def worst_window(parts: np.ndarray, window: int = WINDOW) -> tuple[int, float]:
@@ -100,9 +103,6 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 10, whole_epochs:
             if parts is not None:
                 at, _ = worst_window(parts[words])
                 words = words[at : at + WINDOW]
-            elif len(words) > 4 * WINDOW:
-                at = int(rng.integers(len(words) - 4 * WINDOW))
-                words = words[at : at + 4 * WINDOW]
             rows, weights = bags.of(words)
             mean = weights.astype(np.float32) @ vectors[rows]
             logits = softmax @ mean + bias
@@ -147,7 +147,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, column: s
     """(text, label) of ``most`` labelled documents at most: a bounded set of ids meets ``docs``, whose texts never move."""
     chosen = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & allowed).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").dropDuplicates(["doc_id"])
+    met = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, column: str = "toxic") -> tuple[np.ndarray, float]:
@@ -162,7 +163,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shipped.value)
         for batch in batches:
-            found = [scorer.score(t or "") for t in batch.column(1).to_pylist()]
+            found = [scorer.score(t.decode()) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
