@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from arbora.llm.common import texts_of
+from arbora.llm.common import staged, texts_of
 from arbora.llm.toxicity import training_rows
 
 TRAIN_DOCS = 8000
@@ -116,7 +116,8 @@ def _strength(groups: DataFrame, mean: Column, within: Column) -> float:
 
 def site_posteriors(evidence: DataFrame, host: str, path: str) -> tuple[DataFrame, float]:
     """(host, path, host_posterior, path_posterior) and the global mean."""
-    paths = evidence.groupBy(F.col(host).alias("__host"), F.col(path).alias("__path")).agg(F.sum("evidence").alias("good"), F.count("*").alias("n")).persist()
+    paths = evidence.groupBy(F.col(host).alias("__host"), F.col(path).alias("__path")).agg(F.sum("evidence").alias("good"), F.count("*").alias("n"))
+    paths = staged(paths)
     total = paths.agg(F.sum("good"), F.sum("n")).first()
     overall = (total[0] + 0.5) / (total[1] + 1.0) if total[1] else 0.5
     hosts = paths.groupBy("__host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
@@ -127,12 +128,14 @@ def site_posteriors(evidence: DataFrame, host: str, path: str) -> tuple[DataFram
     return both.select("__host", "__path", "host_posterior", ((strength * F.col("host_posterior") + F.col("good")) / (strength + F.col("n"))).alias("path_posterior")), overall
 
 
-def judged(docs: DataFrame, model: Logistic, host: str = "source", path: str = "lang") -> DataFrame:
-    """``docs`` with evidence, host_posterior, path_posterior and quality_score (a probability)."""
-    docs = docs.drop(*RESULTS)
-    sites, overall = site_posteriors(with_evidence(docs.select("text", host, path), model), host, path)
+def judged(docs: DataFrame, model: Logistic, host: str = "source", path: str = "lang", texts: bool = True) -> DataFrame:
+    """``docs``, without their texts unless ``texts``, with evidence, host_posterior, path_posterior and quality_score (a probability).
+
+    Texts are measured once; what is written holds the evidence beside the columns that go on."""
+    measured = with_evidence(docs.drop(*RESULTS), model)
+    own = staged(measured if texts else measured.drop("text"))
+    sites, overall = site_posteriors(own.select(host, path, "evidence"), host, path)
     sites = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
-    own = with_evidence(docs, model)
     met = own.join(sites, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left").drop("__host", "__path")
     odds = lambda p: F.log(p / (1 - p))
     moved = odds(F.col("evidence")) + odds(F.col("path_posterior")) - float(np.log(overall / (1 - overall)))

@@ -16,7 +16,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     model = fit(docs, table(spark, sf_dir, "labels"), id_bucket("doc_id", FOLDS) != HELD_OUT)
     held_out = (id_bucket("doc_id", FOLDS) == HELD_OUT).alias("held_out")
-    return judged(docs, model).select("doc_id", held_out, "evidence", "host_posterior", "path_posterior", F.col("quality_score").alias("score"), (F.col("quality_score") >= KEPT).alias("keep"))
+    return judged(docs, model, texts=False).select("doc_id", held_out, "evidence", "host_posterior", "path_posterior", F.col("quality_score").alias("score"), (F.col("quality_score") >= KEPT).alias("keep"))
 
 
 QUERIES = {"op2_quality": op2_quality}
