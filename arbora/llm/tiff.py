@@ -3,7 +3,8 @@
 The reader takes either byte order, strips and tiles, chunky and planar samples of 8 or 16 bits, no compression, PackBits, LZW
 and deflate, and undoes the horizontal predictor.
 
-Defined cases: null bytes give no page; bytes that are no readable TIFF give one row with ``error`` set; a directory chain that
+Defined cases: null bytes give no page; bytes that are no readable TIFF, or whose tags ask for an image or
+tile of more than MOST_BYTES or of no extent, give one row with ``error`` set; a directory chain that
 returns to itself ends there; further columns pass through, those with the name of a result column are replaced.
 """
 
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
+MOST_BYTES = 1 << 30
 PAGE_ROWS = 4096
 STRIP_ROWS = 256
 #: Fixed values of the format: tags, compression schemes and the bytes of a field type.
@@ -159,7 +161,7 @@ def _unpacked(data: bytes, compression: int, most: int) -> bytes:
     if compression == LZW:
         return lzw_decode(data, most)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)[:most]
+        return zlib.decompressobj().decompress(data, most)
     raise ValueError(f"compression {compression} is not read")
 
 
@@ -210,6 +212,8 @@ def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, list[int]],
         tag, kind, count = struct.unpack_from(order + "HHI", data, place)
         if kind not in FIELD or kind == 2:
             continue
+        if count > len(data):
+            raise ValueError("a field longer than the file")
         length = struct.calcsize(FIELD[kind]) * count
         where = place + 8 if length <= 4 else struct.unpack_from(order + "I", data, place + 8)[0]
         tags[tag] = list(struct.unpack_from(f"{order}{count}{FIELD[kind]}", data, where))
@@ -225,8 +229,14 @@ def _page(data: bytes, order: str, tags: dict[int, list[int]]) -> Page:
     kind, depth = np.dtype(f"{order}u{bits // 8}"), samples // planes
     tiled = TILE_OFFSETS in tags
     part_width, part_height = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (width, min(one(STRIP_LENGTH, height), height))
+    if min(width, height, samples, part_width, part_height) < 1:
+        raise ValueError("an image, strip or tile without extent")
+    if max(width * height, part_width * part_height) * samples * kind.itemsize > MOST_BYTES:
+        raise ValueError("an image or tile beyond the bound of bytes")
     across, down = -(-width // part_width), -(-height // part_height)
     offsets, counts = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
+    if len(offsets) != across * down * planes or len(counts) != len(offsets):
+        raise ValueError("strips or tiles do not cover the image")
     image = np.zeros((height, width, samples), kind)
     for i, (offset, count) in enumerate(zip(offsets, counts)):
         plane, cell = divmod(i, across * down)

@@ -1,4 +1,5 @@
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -63,3 +64,26 @@ def test_rows(spark):
 def test_described(text):
     n, padded, *_ = described(text)
     assert n == len(text) and padded % 192 == 0 and padded >= max(n, 1)
+
+
+def one_page(**changes):
+    tags = {256: 4, 257: 4, 258: 8, 259: 1, 273: 8, 277: 1, 278: 4, 279: 16} | {int(k[1:]): v for k, v in changes.items()}
+    entries = b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in sorted(tags.items()) if v is not None)
+    return b"II*\0" + struct.pack("<I", 24) + bytes(range(16)) + struct.pack("<H", entries.count(b"") and len(entries) // 12) + entries + b"\0\0\0\0"
+
+
+@pytest.mark.parametrize("changes", [{"t278": 0}, {"t256": 0}, {"t257": 0}, {"t277": 0}, {"t256": 4_000_000_000, "t257": 4_000_000_000}, {"t322": 0, "t323": 16, "t324": 8, "t325": 16}, {"t322": 16, "t323": 0, "t324": 8, "t325": 16}, {"t279": None}, {"t259": 8}])
+def test_bad_tags_give_an_error_row(spark, changes):
+    assert read_tiff(one_page())[0].pixels == bytes(range(16))
+    with pytest.raises((ValueError, KeyError, zlib.error)):
+        read_tiff(one_page(**changes))
+    (row,) = tiff_pages(spark.createDataFrame([(one_page(**changes),)], "media binary")).collect()
+    assert row.error and row.pixels is None
+
+
+def test_inflating_is_bounded():
+    huge = zlib.compress(bytes(50_000_000), 9)
+    blob = b"II*\0" + struct.pack("<I", 8 + len(huge)) + huge
+    tags = {256: 4, 257: 4, 258: 8, 259: 8, 273: 8, 277: 1, 278: 4, 279: len(huge)}
+    blob += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in sorted(tags.items())) + b"\0\0\0\0"
+    assert read_tiff(blob)[0].pixels == bytes(16)
