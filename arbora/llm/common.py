@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.sources.staging import staged as staged
 
+HOT_ROWS = 100_000
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -24,6 +25,19 @@ def row_keys(*columns: str) -> list[Column]:
     return [row_key(*columns), row_key(*reversed(columns))]
 
 
+def joined_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined with ``table``, which has a key once, where a key may hold a large share of ``rows``.
+
+    Keys of more than ``hot_rows`` rows, of which there are at most a ``hot_rows``-th as many as rows, meet their line of the
+    table by broadcast, so that their rows stay where they are; all others are shuffled."""
+    hot = staged(rows.groupBy(key).count().filter(F.col("count") > hot_rows).select(key))
+    if hot.isEmpty():
+        return rows.join(table.hint("merge"), key, how)
+    few = staged(table.join(F.broadcast(hot), key, "left_semi"))
+    rest = rows.join(F.broadcast(hot), key, "left_anti").join(table.hint("merge"), key, how)
+    return rest.unionByName(rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how))
+
+
 def id_bucket(column: str, buckets: int) -> Column:
     """crc32 of an id as text, modulo ``buckets``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets
@@ -36,13 +50,6 @@ def texts_of(column: pa.Array, rows: int = 256) -> Iterator[bytes]:
             yield value or b""
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Keep the texts that are at once between Spark and Python to ``rows`` a task, where the session allows more."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, str(rows))
-
-
 def ascii_words(text: bytes) -> list[bytes]:
     """Maximal runs of anything but the six ASCII spaces, A-Z lower-cased."""
     return text.lower().split()

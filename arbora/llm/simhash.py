@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.llm.common import ascii_words, staged, texts_of
+from arbora.llm.common import ascii_words, joined_hot, staged, texts_of
 from arbora.llm.components import components
 
 SEED = 42
@@ -150,7 +150,7 @@ def simhash_groups(docs: DataFrame, bits: int = 2, n: int = 3) -> DataFrame:
     roots = components(linked_fingerprints(classes, bits)).withColumnRenamed("node", "print")
     members = classes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     ids = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(members.join(ids, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
+    return joined_hot(rows, members.join(ids, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
 def _key(words: list[bytes]) -> int:
@@ -294,11 +294,12 @@ def near_groups(docs: DataFrame, least: float = SIMILAR, carried: tuple[str, ...
     if not untried.isEmpty():
         roots = components(kept.unionByName(_verified(docs, untried, least))).withColumnRenamed("root", "r")
     roots = roots.withColumnRenamed("node", "key")
-    return rows.select("doc_id", *(f.name for f in more), "key").join(roots, "key", "left").withColumn("root", F.coalesce("r", "key")).drop("key", "r")
+    found = joined_hot(rows.select("doc_id", *(f.name for f in more), "key"), roots, "key", "left")
+    return found.withColumn("root", F.coalesce("r", "key")).drop("key", "r")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id and component_id of each row: documents linked by equal words or by a similarity of ``least`` or more."""
     rows = staged(near_groups(docs, least))
     ids = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(ids, "root").select("doc_id", "component_id")
+    return joined_hot(rows, ids, "root").select("doc_id", "component_id")
