@@ -9,20 +9,40 @@ from pyspark.sql import functions as F
 VARIANTS = "“”„‘’‚‐‑‒–—−¹²³"
 PLAIN = "\"\"\"'''------123"
 ROMAN = ((50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
-#: Heading type, pattern, in order of precedence.
+#: Glyphs that never count, and how a provision is cited.
+DOTS = "•·⋅"
+CITED = r"(?:(?<![A-Za-z])[A-Z]-\d+(?:\.\d+)*|\d+(?:\.\d+)+)(?:\.?\([0-9a-z]+\)(?:\s*\([0-9a-z]+\))*)?"
+#: Heading type, pattern and what its font's name holds, in order of precedence.
 HEADINGS = (
-    ("Division", r"^Division\s+([A-Z])\s*$"),
-    ("NotesContainer", r"^Notes to Part\s+(\d+)\s*$"),
-    ("Part", r"^Part\s+(\d+)\s*$"),
-    ("Section", r"^Section\s+(\d+\.\d+)\.\s*(.*)$"),
-    ("Article", r"^(\d+\.\d+\.\d+\.\d+)\.\s*(.*)$"),
-    ("Subsection", r"^(\d+\.\d+\.\d+)\.\s+(.*)$"),
-    ("Appendix", r"^Appendix\s+([A-Z])\s*$"),
+    ("Division", r"^Division\s+([A-Z])\s*$", "Black"),
+    ("NotesContainer", r"^Notes to Part\s+(\d+)\s*$", "Black"),
+    ("Part", r"^Part\s+(\d+)\s*$", "Black"),
+    ("Section", r"^Section\s+(\d+\.\d+)\.\s*(.*)$", "Black"),
+    ("Article", r"^(\d+\.\d+\.\d+\.\d+)\.\s*(.*)$", "Black"),
+    ("Subsection", r"^(\d+\.\d+\.\d+)\.\s+(.*)$", "Black"),
+    ("Appendix", r"^Appendix\s+([A-Z])\s*$", "Black"),
+    ("AppendixPart", r"^Section\s+([A-Z])-(\d+)\s+(.*)$", "Black"),
+    ("AppendixArticle", r"^([A-Z])-(\d+\.\d+\.\d+)\.\s+(.*)$", "Black"),
+    ("AppendixSection", r"^([A-Z])-(\d+\.\d+)\.\s+(.*)$", "Black"),
+    ("TableGroup", r"^[A-Z][A-Za-z ]*\bTables\s*$", "Black"),
+    ("BackMatter", r"^PROVINCE OF BRITISH COLUMBIA$", "Bold"),
+)
+#: Captions, captions of an identifier alone, headings of table notes, font families, leading markers.
+CAPTION = r"^(Table|Figure)\s+(\S.*)$"
+BARE_CAPTION = r"^(Table|Figure)\s+([A-Z]-)?\d+(\.\d+)*\.?(-[A-Z])?$"
+TABLE_NOTES = r"^Notes? to (Table|Figure)\s*[A-Z0-9]\S*:?\s*$"
+FONT_FAMILY = r"^([A-Za-z]*?)(?=MT|PS|-|/|$)"
+MARKER = r"^([A-Za-z0-9]{1,4})\)\s+(.*)$"
+GLUED_MARKER = r"^([A-Za-z0-9]{1,4})\)(.*)$"
+OWN_MARKER = r"^\(?([0-9A-Za-z]{1,6})\)\s*"
+FORMULA_ERROR = r"\[[a-z]\]"
+#: What one-sided edits look like without whitespace, in order of precedence.
+ONE_SIDED = (
+    ("Punctuation", r"""[.,;:"'()]+"""),
+    ("Reference wording", r"(Sentences?|Articles?|Clauses?|Subclauses?|Tables?|Figures?|Subsections?|Sections?|Parts?|ofDivision[ABC]|([0-9]+\.)+(\([0-9A-Za-z_]+\))*|-[A-Z])+"),
+    ("Standard designation", r"(ULC|CSA|CGSB|ASTM|ANSI|UL|NFPA|CCBFC|NRCC|ISO|IEC|:[0-9]{2,4})+"),
+    ("Note link text", r"Note"),
 )
-#: What one-sided edits look like without whitespace.
-PUNCTUATION = r"""^[.,;:"'()]+$"""
-REFERENCE = r"^(Sentences?|Articles?|Clauses?|Subclauses?|Tables?|Figures?|Subsections?|Sections?|Parts?|ofDivision[ABC]|([0-9]+\.)+(\([0-9A-Za-z_]+\))*|-[A-Z])+$"
-STANDARD = r"^(ULC|CSA|CGSB|ASTM|ANSI|UL|NFPA|CCBFC|NRCC|ISO|IEC|:[0-9]{2,4})+$"
 
 
 def normalized_identifier(text: Column) -> Column:
@@ -46,14 +66,42 @@ def title_key(title: Column) -> Column:
     return F.lower(F.regexp_replace(bare, r"[\W_]+", ""))
 
 
-def heading_type(line: Column) -> Column:
-    """The first heading type whose pattern the line has, else null."""
+def heading_type(line: Column, font: Column | None = None) -> Column:
+    """The first heading type whose pattern the line has, set in its kind of font where one is given, else null."""
     found = F.lit(None).cast("string")
-    for name, pattern in reversed(HEADINGS):
-        found = F.when(F.rlike(line, F.lit(pattern)), name).otherwise(found)
+    for name, pattern, face in reversed(HEADINGS):
+        fits = F.rlike(line, F.lit(pattern))
+        found = F.when(fits if font is None else fits & F.contains(font, F.lit(face)), name).otherwise(found)
     return found
 
 
+def heading_words(line: Column, kind: Column) -> Column:
+    """The words of a heading that are no title: what stands before the pattern's last group where that is a title, else all."""
+    out = line
+    for name, pattern, _ in HEADINGS:
+        if pattern.endswith("(.*)$"):
+            title = F.regexp_extract(line, pattern, pattern.count("("))
+            out = F.when(kind == name, F.rtrim(F.substr(line, F.lit(1), F.length(line) - F.length(title)))).otherwise(out)
+    return out
+
+
+def caption_kind(line: Column, font: Column, centred: Column) -> Column:
+    """Table or Figure where a line is a caption: in a bold face that is neither black nor narrow, or alone on a centred line."""
+    has = lambda face: F.contains(font, F.lit(face))
+    bold = has("Bold") & ~has("Black") & ~has("Narrow")
+    bare = centred & ~has("Narrow") & F.rlike(line, F.lit(BARE_CAPTION))
+    kind = F.regexp_extract(line, CAPTION, 1)
+    return F.when((bold | bare) & (kind != ""), kind)
+
+
+def is_table_notes_heading(line: Column) -> Column:
+    return F.rlike(line, F.lit(TABLE_NOTES))
+
+
+def font_family(font: Column) -> Column:
+    return F.regexp_extract(font, FONT_FAMILY, 1)
+
+
 def roman(number: Column) -> Column:
     """Lower-case roman numeral of 1 to 89."""
     out, rest = F.lit(""), number
@@ -75,10 +123,17 @@ def roman_of(number: int) -> str:
 VALID_ROMANS = [roman_of(n) for n in range(1, 61)]
 
 
-def marker_token(line: Column) -> Column:
-    """The token of a leading ``token)`` marker followed by a space, else null."""
-    token = F.regexp_extract(line, r"^([A-Za-z0-9]{1,4})\)\s+(.*)$", 1)
-    return F.when(token != "", token)
+def marker_token(line: Column, first_run_end: Column | None = None) -> Column:
+    """The token of a leading ``token)`` marker followed by a space, else null.
+
+    Where the line's first span of text is known to end at the bracket, the space may be missing, unless the token is noise."""
+    token = F.regexp_extract(line, MARKER, 1)
+    spaced = F.when(token != "", token)
+    if first_run_end is None:
+        return spaced
+    glued = F.regexp_extract(line, GLUED_MARKER, 1)
+    own = (glued != "") & (first_run_end == F.length(glued) + 1) & (marker_kind(glued) != "noise")
+    return F.coalesce(spaced, F.when(own, glued))
 
 
 def marker_kind(token: Column) -> Column:
@@ -96,13 +151,9 @@ def marker_kind(token: Column) -> Column:
 def edit_category(left: Column, right: Column) -> Column:
     """How a changed stretch of text differs; an empty side is text that one side alone has."""
     changed = F.when(left == "", right).otherwise(left)
-    one_sided = (
-        F.when(F.rlike(changed, F.lit(PUNCTUATION)), "Punctuation")
-        .when(F.rlike(changed, F.lit(REFERENCE)), "Reference wording")
-        .when(F.rlike(changed, F.lit(STANDARD)), "Standard designation")
-        .when(changed == "Note", "Note link text")
-        .otherwise("Wording")
-    )
+    one_sided = F.lit("Wording")
+    for name, body in reversed(ONE_SIDED):
+        one_sided = F.when(F.rlike(changed, F.lit(f"^(?:{body})$")), name).otherwise(one_sided)
     both = F.when(F.lower(left) == F.lower(right), "Letter case").when(F.contains(right, F.lit("Note")), "Note link text").otherwise("Wording")
     return F.when((left != "") & (right != ""), both).otherwise(one_sided)
 

@@ -63,7 +63,8 @@ def keyed_level(level: DataFrame, above: DataFrame | None, rules: dict[str, KeyR
     kind = F.when(F.coalesce(needs, F.lit(False)) & (ident == ""), F.when(F.coalesce(_by_rule(rules, lambda r: F.lit(r.fallback)), F.lit("")) != "", "fixed").otherwise("ordinal")).otherwise(F.coalesce(kind, F.lit("ordinal")))
     context = context.withColumn("__kind", kind).withColumn("__prefix", F.when((F.col("__kind") == "fixed") & needs, _by_rule(rules, lambda r: F.lit(r.fallback))).when((F.col("__kind") == "ordinal") & F.coalesce(needs, F.lit(True)), F.col("type")).otherwise(_by_rule(rules, lambda r: F.lit(r.prefix))))
     context = context.withColumn("__base", F.when(F.coalesce(_by_rule(rules, lambda r: F.lit(r.scoped)), F.lit(False)), F.col("up_scope")).otherwise(F.col("parent_key")))
-    nth = F.row_number().over(Window.partitionBy("__base", "type", "__kind").orderBy("path"))
+    # a parent may hold a large share of the level, so its ordinals are ranks over ranges
+    context = group_rank(context, ["__base", "type", "__kind"], ["path"], "__nth")
     plain = (
         F.when(F.col("__kind") == "fixed", F.col("__prefix"))
         .when(F.col("__kind") == "root", F.concat("__prefix", ident))
@@ -71,22 +72,22 @@ def keyed_level(level: DataFrame, above: DataFrame | None, rules: dict[str, KeyR
         .when(F.col("__kind") == "child", dotted(F.col("parent_key"), ident))
         .when(F.col("__kind") == "suffix", F.concat("parent_key", ident))
         .when(F.col("__kind") == "literal", dotted(F.col("parent_key"), F.col("__prefix")))
-        .otherwise(dotted(F.col("__base"), F.concat("__prefix", nth.cast("string"))))
+        .otherwise(dotted(F.col("__base"), F.concat("__prefix", F.col("__nth").cast("string"))))
     )
     built = context.withColumn("__plain", plain)
-    again = F.row_number().over(Window.partitionBy("__plain").orderBy("path"))
-    restarts = F.col("__kind").isin(*RESTARTS)
+    restarts = F.col("__kind").isin(*RESTARTS)  # may share one key in any number, so each is a group of its own here
+    again = F.row_number().over(Window.partitionBy("__plain", F.when(restarts, F.col("path"))).orderBy("path"))
     built = built.withColumn("key", F.when(restarts, F.col("__plain")).when(again == 1, F.col("__plain")).otherwise(F.concat("__plain", F.lit("~"), again.cast("string"))))
     scopes = F.coalesce(_by_rule(rules, lambda r: F.lit(r.scope)), F.lit(False))
     built = built.withColumn("root_key", F.when(restarts, F.col("key")).otherwise(F.col("up_root"))).withColumn("scope_key", F.when(restarts | scopes, F.col("key")).otherwise(F.col("up_scope")))
-    return built.drop("__kind", "__prefix", "__base", "__plain", "up_root", "up_scope")
+    return built.drop("__kind", "__prefix", "__base", "__plain", "__nth", "up_root", "up_scope")
 
 
 def keyed_levels(levels: list[DataFrame], rules: dict[str, KeyRule]) -> list[DataFrame]:
-    """Each level with its keys, from the top."""
+    """Each level with its keys, from the top; a level is written once, as the one below and its readers ask for it again."""
     out: list[DataFrame] = []
     for level in levels:
-        out.append(keyed_level(level, out[-1] if out else None, rules))
+        out.append(staged(keyed_level(level, out[-1] if out else None, rules)))
     return out
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.operators.islands import by_key
+from arbora.sources.staging import staged
+
 
 def _by(keys: list[str], order: list):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -60,15 +63,15 @@ def zip_equal_groups(left: DataFrame, right: DataFrame, keys: list[str], left_or
 def systematic_sample(rows: DataFrame, order: list, wanted: int) -> DataFrame:
     """The rows at floor(i * n / wanted) for i below ``wanted``: evenly spread, all where there are no more than wanted.
 
-    Places are ranks within ranges of the first order column, added up over ranges, so that no task orders all rows."""
-    n = rows.count()
+    Places are ranks within ranges of the order, added up over ranges, so that no task orders all rows; the ranges are written
+    once, as another sampling of their bounds would give other ranges."""
+    dealt = staged(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))  # as many rows as ranges
+    before = staged(sizes.select("__part", "__n", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before")))
+    n = before.agg(F.sum("__n")).first()[0] or 0
     places = sorted({i * n // wanted for i in range(wanted)}) if n else []
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    ranked = ordered.withColumn("__within", within)
-    sizes = ranked.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return ranked.join(F.broadcast(before), "__part").filter((F.col("__before") + F.col("__within")).isin(places)).drop("__part", "__within", "__before")
+    ranked = dealt.withColumn("__within", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)
+    return ranked.join(F.broadcast(before), "__part").filter((F.col("__before") + F.col("__within")).isin(places)).drop("__part", "__within", "__before", "__n")
 
 
 def merged_boundaries(values: Column, tolerance: float = 2.0) -> Column:
@@ -80,17 +83,23 @@ def merged_boundaries(values: Column, tolerance: float = 2.0) -> Column:
 def packed(rows: DataFrame, keys: list[str], order: str, weight: str, most_items: int, most_weight: int, overhead: int = 0) -> DataFrame:
     """Next-fit batches in order: a batch closes when full or when the next row would exceed the weight; ``rows`` with batch.
 
-    A key's rows are folded as one array of (order, weight), so a key is the unit of memory."""
-    state = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("items"), F.lit(overhead).cast("long").alias("used"), F.array().cast("array<struct<o:bigint,batch:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["items"] >= most_items) | ((s["items"] > 0) & (s["used"] + x["w"] > most_weight))
-        batch = F.when(full, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(batch.alias("batch"), (F.when(full, 0).otherwise(s["items"]) + 1).cast("long").alias("items"), (F.when(full, overhead).otherwise(s["used"]) + x["w"]).cast("long").alias("used"), F.array_append(s["out"], F.struct(x["o"].alias("o"), batch.alias("batch"))).alias("out"))
-
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(weight).cast("long").alias("w")))).alias("xs"))
-    placed = listed.select(*keys, F.explode(F.aggregate("xs", state, step)["out"]).alias("x")).select(*keys, F.col("x.o").alias(order), F.col("x.batch").alias("batch"))
-    return rows.join(placed.withColumn(order, F.col(order).cast(dict(rows.dtypes)[order])), [*keys, order])
+    Rows are numbered within their key, ties in any one order, and written; numbers and weights stream through the fold a key
+    at a time, so a key's rows are the unit of memory, two numbers each. A null weight weighs nothing."""
+    numbered = staged(rows.withColumn("__n", F.row_number().over(_by(keys, [order]))))
+    schema = ", ".join([*(f"`{k}` {dict(rows.dtypes)[k]}" for k in keys), "__n int, batch int"])
+
+    def fold(own: tuple, columns: dict) -> list[tuple]:
+        batch, items, used, out = 0, 0, overhead, []
+        for n, w in zip(columns["__n"], columns["__w"]):
+            if items and (items >= most_items or used + w > most_weight):
+                batch, items, used = batch + 1, 0, overhead
+            items, used = items + 1, used + w
+            out.append((*own, n, batch))
+        return out
+
+    light = numbered.select(*keys, "__n", F.coalesce(F.col(weight).cast("long"), F.lit(0)).alias("__w"))
+    placed = by_key(light, keys, ["__n"], fold, schema)
+    return numbered.join(placed, [*keys, "__n"]).drop("__n")
 
 
 def apportioned(rows: DataFrame, keys: list[str], order: str, weight: str, total: str, name: str = "share") -> DataFrame:

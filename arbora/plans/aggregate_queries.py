@@ -26,7 +26,7 @@ def verdict_tally(spark: SparkSession, d: str) -> DataFrame:
 def null_poison_sum(spark: SparkSession, d: str) -> DataFrame:
     """A user's spend, unknown as soon as one part of it is."""
     cost = F.when(F.col("event_type") != "error", F.round(F.col("value") * 100).cast("long"))
-    rows = table(spark, d, "events").filter("event_id % 50 <> 0").withColumn("cost", F.when((F.col("event_type") == "error") & (F.col("value") < 30), F.lit(0)).otherwise(cost))
+    rows = table(spark, d, "events").withColumn("cost", F.when((F.col("event_type") == "error") & (F.col("value") < 30), F.lit(0)).otherwise(cost))
     return rows.groupBy("user_id").agg(F.when(F.count_if(F.col("cost").isNull()) > 0, F.lit(None)).otherwise(F.sum("cost")).alias("spend"))
 
 
@@ -39,8 +39,8 @@ def timing_stats(spark: SparkSession, d: str) -> DataFrame:
 def agreement_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Of the documents both label sets judge, the share that agree."""
     labels = table(spark, d, "labels")
-    left = labels.select("doc_id", F.col("quality").alias("a"))
-    right = labels.filter("doc_id % 2 = 0").select("doc_id", (1 - F.col("toxic")).alias("b"))
+    left = labels.filter("quality IS NOT NULL").select("doc_id", F.col("quality").alias("a"))
+    right = labels.filter("toxic IS NOT NULL").select("doc_id", (1 - F.col("toxic")).alias("b"))
     return left.join(right, "doc_id").agg(F.coalesce(F.avg((F.col("a") == F.col("b")).cast("double")), F.lit(0.0)).alias("agreement"), F.count("*").alias("judged"))
 
 
@@ -115,9 +115,9 @@ _TEXT = """CASE WHEN round_even(total, 1) < 60 THEN total || ' s' WHEN total //
 ORACLES = {
     "located_report": "SELECT event_type, count(*) FILTER (WHERE value < 10) AS located, count(*) FILTER (WHERE value >= 10) AS unlocated FROM events GROUP BY 1",
     "verdict_tally": "SELECT v AS event_type, count(events.event_type) AS n FROM unnest(['view', 'click', 'purchase', 'error', 'signup', 'refund']) t(v) LEFT JOIN events ON v = events.event_type GROUP BY 1",
-    "null_poison_sum": "SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error' AND value >= 30) > 0 THEN NULL ELSE sum(CASE WHEN event_type = 'error' THEN 0 ELSE round(value * 100)::BIGINT END)::BIGINT END AS spend FROM events WHERE event_id % 50 <> 0 GROUP BY 1",
+    "null_poison_sum": "SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error' AND value >= 30) > 0 THEN NULL ELSE sum(CASE WHEN event_type = 'error' THEN 0 ELSE round(value * 100)::BIGINT END)::BIGINT END AS spend FROM events GROUP BY 1",
     "timing_stats": f"WITH g AS (SELECT event_type, count(*) AS n, max(value) AS longest, sum(floor(value)::BIGINT)::BIGINT AS total FROM events GROUP BY 1) SELECT event_type, n, longest, n * 60.0::DOUBLE / total AS per_minute, {_TEXT} AS total_text FROM g",
-    "agreement_ratio": "SELECT coalesce(avg((quality = 1 - toxic)::INT::DOUBLE), 0) AS agreement, count(*) AS judged FROM labels WHERE doc_id % 2 = 0",
+    "agreement_ratio": "SELECT coalesce(avg((quality = 1 - toxic)::INT::DOUBLE), 0) AS agreement, count(*) AS judged FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL",
     "recommend_min_by": """
 WITH b AS (SELECT p_type, p_brand, sum(round(p_retailprice * 100)::BIGINT)::BIGINT AS tokens FROM part GROUP BY 1, 2 HAVING min(p_size) >= 3)
 SELECT p_type, first(p_brand ORDER BY tokens, p_brand) AS p_brand, min(tokens) AS tokens FROM b GROUP BY 1""",

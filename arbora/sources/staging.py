@@ -20,9 +20,12 @@ def _own_dir() -> str:
 
 
 def shared_dir(df: DataFrame) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where none is set and one machine runs everything."""
     spark = df.sparkSession
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_dir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or _own_dir()
 
 
 def staged(df: DataFrame) -> DataFrame:

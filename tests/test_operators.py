@@ -77,3 +77,11 @@ def test_stream_budget(spark, tmp_path):
     got = {(str(r.start), r.requests, r.tokens) for r in spark.table("budget").collect()}
     assert got == {(str(r.start), r.requests, r.tokens) for r in budgets(events).collect()}
     assert max(t for _, _, t in got) == 7
+
+
+def test_packing_keeps_rows_on_ties(spark):
+    rows = spark.createDataFrame([("k", 1, 5, "a"), ("k", 1, 5, "b"), ("k", 2, 5, "c"), ("j", 1, None, "d")], "k string, o int, w long, v string")
+    found = sorted((r.v, r.batch) for r in windows.packed(rows, ["k"], "o", "w", 2, 100).collect())
+    assert [v for v, _ in found] == ["a", "b", "c", "d"] and sorted(b for v, b in found if v in "abc") == [0, 0, 1]
+    named = spark.createDataFrame([("k", "x", 60.0), ("k", "y", 60.0), ("k", "z", 600.0)], "k string, o string, w double")
+    assert sorted((r.o, r.batch) for r in windows.packed(named, ["k"], "o", "w", 10, 100, 10).collect()) == [("x", 0), ("y", 1), ("z", 2)]
