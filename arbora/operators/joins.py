@@ -69,3 +69,28 @@ def upserted(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame
 def not_yet(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys are not in a state table: what an exactly-once sink still has to create."""
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def as_of_or_first(rows: DataFrame, versions: DataFrame, keys: list[str], at: str, value: str, name: str = "as_of") -> DataFrame:
+    """``as_of``, and the key's first version where none is early enough; null only where a key has no version."""
+    first = versions.groupBy(*keys).agg(F.min_by(value, F.struct(at, value)).alias("__first"))
+    return as_of(rows, versions, keys, at, value, name).join(first, keys, "left").withColumn(name, F.coalesce(name, "__first")).drop("__first")
+
+
+def deepest_owner(rows: DataFrame, levels: list[DataFrame], keys: list[str], at: str, name: str = "owner") -> DataFrame:
+    """``rows`` with the deepest node that stands at or before them: on each level the latest child of the node found above.
+
+    A level is (keys, at, node, parent), the first one's parent null; a node without such a child owns the row itself."""
+    found = rows.withColumn(name, F.lit(None).cast("string")).withColumn("__up", F.lit("").cast("string"))
+    for level in levels:
+        nodes = level.select(*keys, F.col(at), F.coalesce(F.col("parent").cast("string"), F.lit("")).alias("__up"), F.col("node").cast("string").alias("node"))
+        found = as_of(found, nodes, [*keys, "__up"], at, "node", "__node")
+        found = found.withColumn(name, F.coalesce("__node", name)).withColumn("__up", F.coalesce("__node", F.lit("\u0001"))).drop("__node")
+    return found.drop("__up")
+
+
+def required(rows: DataFrame, table: DataFrame, key: str, what: str) -> DataFrame:
+    """``rows`` joined with ``table`` by key; a row without a partner is an error that names its key."""
+    met = rows.join(table.withColumn("__met", F.lit(True)), key, "left")
+    checked = F.when(F.col("__met"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit(f"no {what} "), F.col(key).cast("string"))).cast(dict(rows.dtypes)[key]))
+    return met.withColumn(key, checked).drop("__met")

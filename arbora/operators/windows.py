@@ -113,3 +113,30 @@ def apportioned(rows: DataFrame, keys: list[str], order: str, weight: str, total
     left = F.col(total) - F.sum("__floor").over(group)
     rank = F.row_number().over(group.orderBy(F.desc(F.col("__exact") - F.col("__floor")), order))
     return floored.withColumn("__left", left).withColumn(name, (F.col("__floor") + F.when(rank <= F.col("__left"), 1).otherwise(0)).cast("long")).drop("__exact", "__floor", "__left")
+
+
+def end_pages_down(levels: list[DataFrame], last: Column) -> list[DataFrame]:
+    """Levels (node, parent, page), from the top, with end_page: a node ends a page before its next sibling, the last where its parent ends."""
+    out: list[DataFrame] = []
+    for level in levels:
+        if out:
+            above = out[-1].select(F.col("node").alias("parent"), F.col("end_page").alias("__last"))
+            level = level.join(above, "parent").withColumn("__end", F.col("__last")).drop("__last")
+        else:
+            level = level.withColumn("__end", last)
+        out.append(end_pages(level, ["parent"], ["page", "node"], "page", F.col("__end")).drop("__end"))
+    return out
+
+
+def table_records(texts: DataFrame, key: str, text: str, heading: str, columns: list[str]) -> DataFrame:
+    """(key, heading, columns) of the rows of Markdown tables below headings that a pattern's first group names.
+
+    A heading opens a block that another line of that level ends; rows of other widths, rules and the head row are none."""
+    lines = texts.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("__at", "__line"))
+    named = F.regexp_extract("__line", heading, 1)
+    opened = blocks(lines.withColumn("__name", named), [key], ["__at"], F.col("__name") != "", F.rlike("__line", F.lit(r"^#{1,2}\s")) & (F.col("__name") == ""), "__block")
+    whole = Window.partitionBy(key, "__block")
+    cells = F.transform(F.split(F.regexp_replace(F.trim("__line"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
+    rows = opened.withColumn("heading", F.max("__name").over(whole)).filter(F.rlike(F.trim("__line"), F.lit(r"^\|.*\|$"))).withColumn("__cells", cells)
+    body = rows.filter((F.size("__cells") == len(columns)) & ~F.rlike("__line", F.lit(r"^[-|: ]+$"))).withColumn("__nth", F.row_number().over(whole.orderBy("__at")))
+    return body.filter("__nth > 1").select(key, "heading", *(F.get("__cells", i).alias(c) for i, c in enumerate(columns)))

@@ -31,9 +31,9 @@ def null_poison_sum(spark: SparkSession, d: str) -> DataFrame:
 
 
 def timing_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Longest value, count and rate of each kind of event, and the longest as text."""
+    """Average and longest value, count and rate of each kind of event, and the whole as text."""
     grouped = table(spark, d, "events").groupBy("event_type").agg(F.max("value").alias("longest"), F.count("*").alias("n"), F.sum(F.floor("value").cast("long")).alias("total"))
-    return grouped.select("event_type", "n", "longest", F.try_divide(F.col("n") * 60.0, F.col("total")).alias("per_minute"), duration(F.col("total").cast("double")).alias("total_text"))
+    return grouped.select("event_type", "n", "longest", F.round(F.try_divide("total", "n"), 6).alias("average"), F.try_divide(F.col("n") * 60.0, F.col("total")).alias("per_minute"), duration(F.col("total").cast("double")).alias("total_text"))
 
 
 def agreement_ratio(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +116,7 @@ ORACLES = {
     "located_report": "SELECT event_type, count(*) FILTER (WHERE value < 10) AS located, count(*) FILTER (WHERE value >= 10) AS unlocated FROM events GROUP BY 1",
     "verdict_tally": "SELECT v AS event_type, count(events.event_type) AS n FROM unnest(['view', 'click', 'purchase', 'error', 'signup', 'refund']) t(v) LEFT JOIN events ON v = events.event_type GROUP BY 1",
     "null_poison_sum": "SELECT user_id, CASE WHEN count(*) FILTER (WHERE event_type = 'error' AND value >= 30) > 0 THEN NULL ELSE sum(CASE WHEN event_type = 'error' THEN 0 ELSE round(value * 100)::BIGINT END)::BIGINT END AS spend FROM events GROUP BY 1",
-    "timing_stats": f"WITH g AS (SELECT event_type, count(*) AS n, max(value) AS longest, sum(floor(value)::BIGINT)::BIGINT AS total FROM events GROUP BY 1) SELECT event_type, n, longest, n * 60.0::DOUBLE / total AS per_minute, {_TEXT} AS total_text FROM g",
+    "timing_stats": f"WITH g AS (SELECT event_type, count(*) AS n, max(value) AS longest, sum(floor(value)::BIGINT)::BIGINT AS total FROM events GROUP BY 1) SELECT event_type, n, longest, round(total / n, 6) AS average, n * 60.0::DOUBLE / total AS per_minute, {_TEXT} AS total_text FROM g",
     "agreement_ratio": "SELECT coalesce(avg((quality = 1 - toxic)::INT::DOUBLE), 0) AS agreement, count(*) AS judged FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL",
     "recommend_min_by": """
 WITH b AS (SELECT p_type, p_brand, sum(round(p_retailprice * 100)::BIGINT)::BIGINT AS tokens FROM part GROUP BY 1, 2 HAVING min(p_size) >= 3)

@@ -128,16 +128,17 @@ def images_by_owner(spark: SparkSession, d: str) -> DataFrame:
 
 
 def note_reparenting(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers move under the customer of the same number and nation; those without one stay where they are."""
-    left = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    parts = table(spark, d, "customer").select(c("c_nationkey").alias("s_nationkey"), c("c_custkey").alias("part")).groupBy("s_nationkey").agg(F.min("part").alias("part"))
-    return left.join(parts, "s_nationkey", "left").select("s_suppkey", F.when(c("part").isNotNull(), F.concat(F.lit("part "), c("part").cast("string"))).otherwise("unmoved").alias("parent"))
+    """Suppliers move under the customer of the same number in the same nation; those without one stay where they are."""
+    parts = table(spark, d, "customer").select(c("c_nationkey").alias("s_nationkey"), (c("c_custkey") % 10).alias("number"), c("c_custkey").alias("part")).groupBy("s_nationkey", "number").agg(F.min("part").alias("part"))
+    left = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", (c("s_suppkey") % 10).alias("number"))
+    return left.join(parts, ["s_nationkey", "number"], "left").select("s_suppkey", F.when(c("part").isNotNull(), F.concat(F.lit("part "), c("part").cast("string"))).otherwise("unmoved").alias("parent"))
 
 
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    """Pages whose links point at the path of another page: distinct links met by an equi join."""
+    """Every page's distinct links, each with the first page that has it and the number of pages that do, read once a link."""
     links = table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)))).alias("word"))
-    return links.groupBy("word").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"))
+    known = links.groupBy("word").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"))
+    return links.join(known, "word").select("page_id", "word", "n_pages", "first_page")
 
 
 def call_costs(spark: SparkSession, d: str) -> DataFrame:
@@ -205,8 +206,8 @@ SELECT l_orderkey, kind, CASE WHEN kind <> 'none' THEN count(*) END AS n_keys FR
     "box_sanity": "SELECT event_id, CASE WHEN event_id % 4 <> 0 AND json_extract_string(props, '$.k')::INT > 10 THEN '10,' || json_extract_string(props, '$.k') END AS box FROM events",
     "error_routes": "WITH s AS (SELECT json_extract_string(props, '$.k')::INT + 400 AS status FROM events WHERE event_type = 'error') SELECT CASE WHEN status = 429 THEN 'rate limit' WHEN status >= 490 OR status = 408 THEN 'transient' ELSE 'permanent' END AS route, count(*) AS n FROM s GROUP BY 1",
     "images_by_owner": "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS images FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1",
-    "note_reparenting": "SELECT s_suppkey, coalesce('part ' || (SELECT min(c_custkey) FROM customer WHERE c_nationkey = s_nationkey), 'unmoved') AS parent FROM supplier",
-    "page_links": "WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS word FROM pages) SELECT word, count(*) AS n_pages, min(page_id) AS first_page FROM l GROUP BY 1",
+    "note_reparenting": "SELECT s_suppkey, coalesce('part ' || (SELECT min(c_custkey) FROM customer WHERE c_nationkey = s_nationkey AND c_custkey % 10 = s_suppkey % 10), 'unmoved') AS parent FROM supplier",
+    "page_links": "WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1)) AS word FROM pages) SELECT page_id, word, count(*) OVER (PARTITION BY word) AS n_pages, min(page_id) OVER (PARTITION BY word) AS first_page FROM l",
     "call_costs": "SELECT p_type, sum(p_size)::BIGINT AS tokens, CASE WHEN p_type <> 'ECONOMY' THEN round(sum(p_size) * 2.5 / 1e6, 9) END AS cost FROM part GROUP BY 1",
     "unnamed_figures": "SELECT l_orderkey, l_partkey, CASE WHEN l_linenumber % 2 = 0 THEN 'id' || l_partkey ELSE l_orderkey || '.figure' || row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 = 0 ORDER BY l_linenumber, l_partkey) END AS figure_id FROM lineitem",
     "pair_classes": "SELECT CASE WHEN l_returnflag = 'N' THEN 'web only' WHEN l_tax = 0 THEN 'skipped' WHEN l_quantity < 3 THEN 'unreadable' WHEN l_discount >= 0.09 THEN 'hash match' ELSE 'judge' END AS state, count(*) AS n FROM lineitem GROUP BY 1",

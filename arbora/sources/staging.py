@@ -28,8 +28,20 @@ def shared_dir(df: DataFrame) -> str:
     return named or _own_dir()
 
 
+def _folder(df: DataFrame) -> str:
+    """Where this application stages: one folder, so that all of it can go at once."""
+    return f"{shared_dir(df).rstrip('/')}/staged-{df.sparkSession.sparkContext.applicationId}"
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove all that this application has staged; results that were not written yet can't be read any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_folder(df))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write as Parquet to the shared folder and read it back: a compressed, columnar checkpoint."""
-    path = f"{shared_dir(df).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    path = f"{_folder(df)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
