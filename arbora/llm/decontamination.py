@@ -10,7 +10,9 @@ written with place and words. Counts of it order the elements by rarity, meeting
 window may start, bounded by the words before and after, and each place is verified word by word: the elements that cover the
 window edge to edge must stand at their places, compared as text. Texts are neither read again nor shuffled.
 
-The hashes of the benchmark's elements are broadcast up to BROADCAST_ELEMENTS of them, beyond that both sides are shuffled.
+What comes of the benchmark alone (hashes of elements, prefixes, covering elements, items) is broadcast where it has at most
+BROADCAST_ELEMENTS elements, so that rows of a passage that very many documents hold stay where they are; beyond that both sides
+are shuffled.
 
 Defined cases: null has no words; a text or item without words has no hit; repeated items are items, repeated ids one; rows
 with equal id and text are judged alike; items with a null id count under the empty id; empty tables give no hit; further
@@ -68,11 +70,15 @@ def window_elements(cut: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return every.select("text", "length", F.col("at").alias("offset"), "element", F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " ").alias("shingle"))
 
 
+def _is_small(elements: DataFrame) -> bool:
+    return elements.count() <= BROADCAST_ELEMENTS
+
+
 def _met(rows: DataFrame, elements: DataFrame, shingle: int) -> DataFrame:
     """Row keys, at and shingle wherever a row has an element of ``elements``; also one line a row with n_words, without shingle."""
     sizes = sorted({min(r[0], shingle) for r in elements.select("length").distinct().collect()})
     known = elements.select("element").distinct()
-    small = known.count() <= BROADCAST_ELEMENTS
+    small = _is_small(elements)
     worded = rows.withColumn("words", words_of("text")).drop("text")
     names = [c for c in worded.columns if c not in (*ROW, "words")]
     heads = [F.when(F.col("at") == 0, F.col(c)).alias(c) for c in names]
@@ -97,18 +103,19 @@ def _met(rows: DataFrame, elements: DataFrame, shingle: int) -> DataFrame:
 
 def occurrences(met: DataFrame, elements: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Row keys, start, length and text of each place in ``met`` where a whole window stands."""
+    ready = F.broadcast if _is_small(elements) else (lambda df: df)
     found = met.filter("shingle IS NOT NULL").select(*ROW, "at", "shingle")
     counted = found.groupBy("shingle").agg(F.count("*").alias("n"))
     nth = F.row_number().over(Window.partitionBy("text").orderBy(F.coalesce("n", F.lit(0)), "offset"))
     prefix = elements.join(counted, "shingle", "left").withColumn("nth", nth).filter("nth = 1 AND n > 0").select("shingle", "offset", "text", "length")
-    maybe = found.join(prefix, "shingle").filter(F.col("at") >= F.col("offset")).select(*ROW, (F.col("at") - F.col("offset")).alias("start"), "text", "length").distinct()
+    maybe = found.join(ready(prefix), "shingle").filter(F.col("at") >= F.col("offset")).select(*ROW, (F.col("at") - F.col("offset")).alias("start"), "text", "length").distinct()
     edge = F.greatest(F.col("length") - shingle, F.lit(0))
     covering = elements.filter((F.col("offset") % shingle == 0) | (F.col("offset") == edge)).select("text", "offset", "shingle")
-    asked = maybe.join(covering, "text").withColumn("at", F.col("start") + F.col("offset"))
+    asked = maybe.join(ready(covering), "text").withColumn("at", F.col("start") + F.col("offset"))
     held = asked.join(found.distinct().hint("merge"), [*ROW, "at", "shingle"])
     whole = held.groupBy(*ROW, "start", "length", "text").agg(F.count("*").alias("n"))
     needed = covering.groupBy("text").agg(F.count("*").alias("n"))
-    return whole.join(needed, ["text", "n"]).select(*ROW, "start", "length", "text")
+    return whole.join(ready(needed), ["text", "n"]).select(*ROW, "start", "length", "text")
 
 
 def hits(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
@@ -123,7 +130,9 @@ def hits(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
     ends = sure.select(*ROW, "start", "length").distinct().withColumn("end", F.col("start") + F.col("length"))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(earlier), F.lit(0))))
     n_hit = ends.withColumn("fresh", fresh).groupBy(*ROW).agg(F.sum("fresh").alias("n_hit"))
-    named = sure.select(*ROW, "text").distinct().join(cut.select("text", F.explode("items").alias("item")), "text").select(*ROW, "item").distinct()
+    listed = cut.select("text", F.explode("items").alias("item"))
+    listed = F.broadcast(listed) if listed.count() <= BROADCAST_ELEMENTS else listed
+    named = sure.select(*ROW, "text").distinct().join(listed, "text").select(*ROW, "item").distinct()
     named = named.groupBy(*ROW).agg(F.sort_array(F.collect_list("item")).alias("items"))
     lines = met.filter("n_words IS NOT NULL").select(*ROW, "doc_id", "n_words")
     judged = lines.join(n_hit.join(named, ROW).hint("merge"), ROW, "left")  # contaminated documents have no bound, so never broadcast
