@@ -1,23 +1,31 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table by alternating large-star and small-star steps.
+
+A hub may hold a large share of the edges; where there are enough for one to be hot, hubs meet their least neighbour by broadcast.
+
+Defined cases: loops and repeated edges are harmless; no edges give no nodes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import staged
+from arbora.llm.common import HOT_ROWS, joined_hot, staged
+
+
+def _met(edges: DataFrame, least: DataFrame, many: bool) -> DataFrame:
+    return joined_hot(edges, least, "a") if many else edges.join(least, "a")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, many: bool) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+    return _met(both.filter("b > a"), least, many).select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, many: bool) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("least"))
-    linked = down.join(least, "a")
+    linked = _met(down, least, many)
     return linked.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b"))).filter("a <> b").distinct()
 
 
@@ -27,7 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = print_of(stars)
     while before[0]:
-        stars = staged(_small_star(_large_star(stars)))
+        many = before[0] > HOT_ROWS
+        larger = _large_star(stars, many)
+        stars = staged(_small_star(staged(larger) if many else larger, many))
         after = print_of(stars)
         if after == before:
             break
