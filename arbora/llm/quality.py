@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from arbora.llm.common import staged, texts_of
+from arbora.llm.common import joined_hot, staged, texts_of
 from arbora.llm.toxicity import training_rows
 
 TRAIN_DOCS = 8000
@@ -135,8 +135,11 @@ def judged(docs: DataFrame, model: Logistic, host: str = "source", path: str = "
     measured = with_evidence(docs.drop(*RESULTS), model)
     own = staged(measured if texts else measured.drop("text"))
     sites, overall = site_posteriors(own.select(host, path, "evidence"), host, path)
-    sites = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
-    met = own.join(sites, F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left").drop("__host", "__path")
+    if sites.count() <= BROADCAST_SITES:
+        met = own.join(F.broadcast(sites), F.col(host).eqNullSafe(F.col("__host")) & F.col(path).eqNullSafe(F.col("__path")), "left").drop("__host", "__path")
+    else:
+        site = lambda h, p: F.to_json(F.struct(F.col(h).alias("h"), F.col(p).alias("p")))  # noqa: E731  nulls are left out, so they differ from empty texts
+        met = joined_hot(own.withColumn("__site", site(host, path)), sites.withColumn("__site", site("__host", "__path")).drop("__host", "__path"), "__site", "left").drop("__site")
     odds = lambda p: F.log(p / (1 - p))
     moved = odds(F.col("evidence")) + odds(F.col("path_posterior")) - float(np.log(overall / (1 - overall)))
     return met.withColumn("quality_score", 1 / (1 + F.exp(-moved)))
