@@ -86,3 +86,36 @@ def hash_similarity(a: str, b: str) -> float:
     """Percent of equal bits, to one decimal."""
     bits = 4 * len(a)
     return round((1 - (int(a, 16) ^ int(b, 16)).bit_count() / bits) * 100, 1)
+
+
+def on_white(pixels: np.ndarray) -> np.ndarray:
+    """RGBA pixels laid on white; others as they are."""
+    if pixels.ndim < 3 or pixels.shape[2] < 4:
+        return pixels
+    share = pixels[..., 3:].astype(float) / 255.0
+    return np.rint(pixels[..., :3] * share + 255.0 * (1.0 - share)).astype(np.uint8)
+
+
+def upright(pixels: np.ndarray, flip_x: bool, flip_y: bool, inverted: bool = False) -> np.ndarray:
+    """Pixels as a page shows them: unflipped, and out of the inverted four-ink form into red, green and blue."""
+    if inverted and pixels.ndim == 3 and pixels.shape[2] == 4:
+        ink = pixels.astype(float) / 255.0
+        pixels = np.rint(255.0 * ink[..., :3] * ink[..., 3:]).astype(np.uint8)
+    return pixels[:: -1 if flip_y else 1, :: -1 if flip_x else 1]
+
+
+def prepared(pixels: np.ndarray, longest: int) -> np.ndarray:
+    """On white, without its border, and no edge longer than ``longest``."""
+    bare = autocropped(on_white(pixels))
+    height, width = bare.shape[:2]
+    if max(height, width) <= longest:
+        return bare
+    size = [max(1, round(n * longest / max(height, width))) for n in (height, width)]
+    planes = bare.reshape(height, width, -1).astype(float)
+    return np.rint(np.stack([shrunk(planes[..., k], *size) for k in range(planes.shape[2])], axis=2)).astype(np.uint8)
+
+
+def pair_score(a: np.ndarray, b: np.ndarray, formula: bool) -> float:
+    """Percent: of a formula the hashes' likeness, of a figure the better of hashes and ink."""
+    plain = hash_similarity(*(perceptual_hash(grey(autocropped(on_white(x)))) for x in (a, b)))
+    return plain if formula else max(plain, hash_similarity(ink_hash(on_white(a)), ink_hash(on_white(b))))

@@ -111,14 +111,21 @@ def note_nodes(content) -> Iterator[Node]:
             yield "Note", note["id"], "", name, note.get("title") or "", " ".join(texts(note.get("content", []))).strip()
 
 
-def _lettered(text, lists: Iterator[dict]) -> list[tuple[dict, list]]:
-    """The lettered items of the lists that a text's marks stand for, in order, each with those of its own text; every mark takes the next list."""
-    out: list[tuple[dict, list]] = []
-    for _ in re.findall(LIST_MARK, text) if isinstance(text, str) else ():
-        own = next(lists, {})
-        items = [(item, _lettered(item.get("content"), lists)) for item in own.get("items") or []]
-        out += items if own.get("type") in LETTERED else []
-    return out
+def _items(text, lists: list[dict], place: tuple[int, ...] | None = ()) -> Iterator[tuple[tuple[int, ...], dict]]:
+    """(place, item) of the lettered items below a text; each of a text's marks takes the next of ``lists``, which is used up.
+
+    A place is the item's number among the lettered ones of its text, after those of the items it stands in; lists that are
+    not lettered are used up alike, but give no items, nor does what stands in them."""
+    nth = 0
+    for _ in range(len(re.findall(LIST_MARK, text)) if isinstance(text, str) else 0):
+        own = lists.pop(0) if lists else {}
+        shown = place is not None and own.get("type") in LETTERED
+        for item in own.get("items") or []:
+            nth += shown
+            inside = (*place, nth) if shown else None
+            if shown:
+                yield inside, item
+            yield from _items(item.get("content"), lists, inside)
 
 
 def appendix_nodes(content, letter: str) -> Iterator[Node]:
@@ -141,12 +148,12 @@ def appendix_nodes(content, letter: str) -> Iterator[Node]:
 
 
 def _clauses(paragraph: dict) -> Iterator[Node]:
-    """Lettered items are cited by place, as they have no ids; items within one are subclauses."""
-    for n, (item, inner) in enumerate(_lettered(paragraph.get("content"), iter(paragraph.get("lists") or [])), 1):
-        name = f"{paragraph['id']}.li{n}"
-        yield "Clause", name, paragraph["id"], f"({chr(ord('a') + n - 1)})", "", item.get("content") or ""
-        for k, (sub, _) in enumerate(inner, 1):
-            yield "Subclause", f"{name}.li{k}", name, f"({roman_of(k)})", "", sub.get("content") or ""
+    """Lettered items are cited by place, as they have no ids; items within one are subclauses, deeper ones are left out."""
+    for place, item in _items(paragraph.get("content"), list(paragraph.get("lists") or [])):
+        if len(place) <= 2:
+            up = "".join(f".li{n}" for n in place[:-1])
+            kind, name = ("Clause", chr(ord("a") + place[0] - 1)) if len(place) == 1 else ("Subclause", roman_of(place[1]))
+            yield kind, f"{paragraph['id']}{up}.li{place[-1]}", f"{paragraph['id']}{up}", f"({name})", "", item.get("content") or ""
 
 
 def formula_nodes(content) -> Iterator[Node]:

@@ -69,7 +69,7 @@ def grid_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame
                 grid.setdefault(row_ord, (row_key, []))[1].append((cell_key, content or ""))
             sides.append(list(grid.values()))
         ours, theirs = sides
-        partners = dict(row_pairs(*(["|".join(signature(x)[0] for _, x in cells) for _, cells in side] for side in sides)))
+        partners = dict(row_pairs(*([[x for _, x in cells] for _, cells in side] for side in sides)))
         for n, (row, cells) in enumerate(ours):
             other, other_cells = theirs[partners[n]] if n in partners else (None, [])
             names = [[signature(x)[0] or (side, i) for i, (_, x) in enumerate(own)] for side, own in enumerate((cells, other_cells))]

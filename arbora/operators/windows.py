@@ -140,3 +140,29 @@ def table_records(texts: DataFrame, key: str, text: str, heading: str, columns:
     rows = opened.withColumn("heading", F.max("__name").over(whole)).filter(F.rlike(F.trim("__line"), F.lit(r"^\|.*\|$"))).withColumn("__cells", cells)
     body = rows.filter((F.size("__cells") == len(columns)) & ~F.rlike("__line", F.lit(r"^[-|: ]+$"))).withColumn("__nth", F.row_number().over(whole.orderBy("__at")))
     return body.filter("__nth > 1").select(key, "heading", *(F.get("__cells", i).alias(c) for i, c in enumerate(columns)))
+
+
+def admitted(calls: DataFrame, keys: list[str], at: str, estimate: str, actual: str, seconds: str, most_calls: int, most_tokens: int, span: float = 60.0) -> DataFrame:
+    """``calls`` with starts, when a limiter lets each in: in order, once fewer than ``most_calls`` and tokens enough are left in the last ``span`` seconds.
+
+    A call counts with its estimate while it runs (``seconds``), with its actual tokens from then on; one beyond the whole budget
+    goes alone. The limiter's state runs from call to call, so a key is the unit; it holds the calls of one span."""
+    numbered = staged(calls.withColumn("__n", F.row_number().over(_by(keys, [at]))))
+    schema = ", ".join([*(f"`{k}` {dict(calls.dtypes)[k]}" for k in keys), "__n int, starts double"])
+
+    def fold(own: tuple, columns: dict) -> list[tuple]:
+        inside, now, out = [], 0.0, []
+        for n, arrives, guess, used, took in zip(*(columns[x] for x in ("__n", "__at", "__e", "__a", "__s"))):
+            now = max(now, arrives)
+            while True:
+                inside = [x for x in inside if now - x[0] < span]
+                spent = sum(x[2] if now >= x[0] + x[3] else x[1] for x in inside)
+                if not inside or (len(inside) < most_calls and spent + guess <= most_tokens):
+                    break
+                now = inside[0][0] + span
+            inside.append((now, guess, used, took))
+            out.append((*own, n, now))
+        return out
+
+    light = numbered.select(*keys, "__n", F.col(at).cast("double").alias("__at"), F.col(estimate).cast("long").alias("__e"), F.col(actual).cast("long").alias("__a"), F.col(seconds).cast("double").alias("__s"))
+    return numbered.join(by_key(light, keys, ["__n"], fold, schema), [*keys, "__n"]).drop("__n")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora.functions import raster
 from arbora.functions.text import marker_kind, normalized_name
-from arbora.operators import islands
+from arbora.operators import compare, islands, windows
 from arbora.plans.window_queries import document_lines
 from arbora.sources.tables import table
 
@@ -111,5 +114,44 @@ def judge_loop_fake(spark: SparkSession, d: str) -> DataFrame:
     return islands.judged(rows, _fake_judge)
 
 
-QUERIES = {f.__name__: f for f in (sequence_align_lines, dp_anchor_align, describe_difference, styled_signature, fuzzy_best_match, fuzzy_orphans, rect_cluster, caption_greedy_claim, clause_state_machine, table_span_expand, json_typed_walk, judge_loop_fake)}
-ORACLES: dict[str, str] = {}
+def image_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of images drawn from embeddings against the next one's: hash, ink and what a pair counts as."""
+
+    def drawn(vector) -> np.ndarray:
+        values = np.asarray(vector, float)[:64].reshape(8, -1)
+        canvas = np.full((80, 80, 3), 255, np.uint8)
+        canvas[8:72, 8:72] = np.kron(np.where(values > np.median(values), 0, 255), np.ones((8, 64 // values.shape[1])))[:64, :64, None]
+        return canvas
+
+    @F.pandas_udf("struct<plain: double, ink: double, score: double>")
+    def scores(left: pd.Series, right: pd.Series, label: pd.Series) -> pd.DataFrame:
+        pairs = [(drawn(a), drawn(b), n % 2 == 0) for a, b, n in zip(left, right, label)]
+        return pd.DataFrame([(raster.pair_score(a, b, True), raster.ink_correlation(a, b), raster.pair_score(a, b, formula)) for a, b, formula in pairs], columns=["plain", "ink", "score"])
+
+    rows = table(spark, d, "embeddings")
+    other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return rows.join(other, "vec_id").select("vec_id", scores("embedding", "other", "label").alias("x")).select("vec_id", "x.*")
+
+
+def admitted_calls(spark: SparkSession, d: str) -> DataFrame:
+    """When a limiter of three calls and 150 tokens a minute lets each user's calls in."""
+    rows = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") * 7.0).alias("at"), F.floor("value").alias("guess"), F.floor(F.col("value") / 2).alias("used"), F.lit(5.0).alias("took"))
+    return windows.admitted(rows, ["user_id"], "at", "guess", "used", "took", 3, 150).select("event_id", "starts")
+
+
+def fuzzy_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Folders that no part's name is close to: the reverse of the orphans."""
+    names, folders = _names(spark, d)
+    return islands.best_matches(folders, names, "folder", "name").filter("score < 0.8").select("folder", "score")
+
+
+def paired_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Orders' tables of a customer against a side without each fifth, paired by what their titles say."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("scope"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("key"), F.col("o_orderpriority").alias("title"))
+    return compare.titled_pairs(orders, orders.filter("ord % 5 <> 0"))
+
+
+QUERIES = {f.__name__: f for f in (image_scores, admitted_calls, fuzzy_missing, paired_tables, sequence_align_lines, dp_anchor_align, describe_difference, styled_signature, fuzzy_best_match, fuzzy_orphans, rect_cluster, caption_greedy_claim, clause_state_machine, table_span_expand, json_typed_walk, judge_loop_fake)}
+ORACLES = {
+    "json_typed_walk": "SELECT p_partkey, '$' AS path, 'part' AS type, p_partkey::VARCHAR AS id FROM part UNION ALL SELECT p_partkey, '$.data[0]', 'table', 't' || p_size FROM part UNION ALL SELECT p_partkey, '$.data[0].cells[0]', 'cell', NULL FROM part UNION ALL SELECT p_partkey, '$.data[0].cells[1]', 'figure', 'f' FROM part WHERE p_size % 2 = 0",
+}

@@ -38,8 +38,8 @@ def test_matches_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.queries().keys() - catalogue.oracle_sql().keys()))
-def test_runs(spark, name):
-    assert catalogue.queries()[name](spark, DATA).columns
+def test_rows_come(spark, name):
+    assert catalogue.queries()[name](spark, DATA).count() > 0
 
 
 def test_names_are_unique():
