@@ -1,10 +1,12 @@
 """URL filters: fixed host and path rules first, then association rules mined from labels by FP-growth.
 
-What is known of URLs comes from two sides: the fixed rules' own verdicts, and labels where no rule fits. A known URL is a basket of its tokens (labels of the host with their place from the right, directories of the path with
-their place, the extension, names of query fields) and its label. FP-growth finds frequent baskets; those that hold the label
-to block give rules "tokens -> block". A rule stays if its support, its confidence and its lift over the share of bad URLs
-suffice and no rule of fewer of its tokens is as sure. The rules carry over to URLs that no fixed rule fits. Rules match by an inverted index: each is listed under its rarest token, a URL looks up its tokens and holds a rule
-if it has all of the rule's.
+Labelled pages are a sample of all pages; what is known of one is the verdict of the fixed rule that fits its URL, else its
+label, so rules are learnt against the share of bad URLs that they will meet. A known URL is a basket of its tokens (labels of
+the host with their place from the right, directories of the path with their place, the extension, names of query fields) and
+its label. FP-growth finds frequent baskets; those that hold the label to block give rules "tokens -> block". A rule stays if
+its support, its confidence and its lift over the share of bad URLs suffice and no rule of fewer of its tokens is as sure. The
+rules carry over to URLs that no fixed rule fits. They match by an inverted index: each is listed under its rarest token, a
+URL looks up its tokens and holds a rule if it has all of the rule's.
 
 Defined cases: a URL that is null or has no ``://`` has empty host and path, no token, and fits no rule; labels that are null
 are none; without labels or frequent baskets there is no mined rule, and what no fixed rule fits is allowed; repeated rows are
@@ -122,9 +124,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...], document
     ``document`` is the id that ``labels`` (doc_id, quality) know a page by, its page_id if none is given."""
     bad = labels.filter("quality IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg((F.min("quality") == 0).alias("labelled"))
     _, by_rule = fixed_rule(rules, host_of(F.col("url")), path_of(F.col("url")))
-    mine = pages.select("url", (F.col("page_id") if document is None else document).cast("long").alias("__id"), by_rule.alias("by_rule")).join(bad, "__id", "left")
+    mine = pages.select("url", (F.col("page_id") if document is None else document).cast("long").alias("__id"), by_rule.alias("by_rule")).join(bad, "__id")
     known = mine.select(tokens_of(F.coalesce("url", F.lit(""))).alias("tokens"), F.coalesce(F.col("by_rule") == "block", "labelled").alias("bad"))
-    found = staged(matched(pages, inverted_index(staged(mined_rules(known.filter((F.size("tokens") > 0) & F.col("bad").isNotNull()))))))
+    found = staged(matched(pages, inverted_index(staged(mined_rules(known.filter(F.size("tokens") > 0))))))
     text, verdict = fixed_rule(rules, F.col("host"), F.col("path"))
     parted = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).join(found, "url", "left")
     mined = F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")

@@ -56,7 +56,7 @@ def test_fixed_verdicts_teach_and_lift_prunes(spark):
     """Where /win/ stands under blocked hosts only, it blocks elsewhere; /en/ stands under both and does not."""
     rows = [(i, f"http://h{i}.net/{'win' if i % 2 else 'en'}/{i}") for i in range(40)] + [(100 + i, f"http://x{i}.org/fr/{i}") for i in range(30)]
     rows += [(200, "http://y.org/win/1"), (201, "http://y.org/en/1"), (202, None)]
-    labels = spark.createDataFrame([(200 + i, 1, 0) for i in range(2)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
     found = {r.page_id: r for r in judge(spark.createDataFrame(rows, "page_id long, url string"), labels, RULES).collect()}
     assert (found[200].rule, found[200].verdict, found[200].mined_rule) == (None, "block", "path0:win")
     assert found[202].verdict == "allow" and all(found[100 + i].verdict == "allow" for i in range(30))
