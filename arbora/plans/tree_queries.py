@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arbora.operators.tree import KeyRule, group_rank, keyed_level, keyed_levels, rolled_up
 from arbora.operators.windows import end_pages, nearest_lower
+from arbora.sources.staging import staged
 from arbora.sources.tables import table
 
 KINDS = ("signup", "view", "click", "purchase", "error")
@@ -79,7 +80,7 @@ def reconcile_rollup_all(spark: SparkSession, d: str) -> DataFrame:
     The second tree lacks every 11th order and holds another price for every 7th."""
     region, nation, customer, orders = keyed_levels(_levels(spark, d), RULES)
     content = table(spark, d, "orders").select(F.col("o_orderkey").alias("node_id"), F.concat_ws("|", "o_orderpriority", F.col("o_orderstatus")).alias("content"))
-    left = orders.select("node_id", "parent_id", "key").join(content, "node_id")
+    left = staged(orders.select("node_id", "parent_id", "key").join(content, "node_id"))
     other = F.when(F.col("node_id") % 7 == 0, F.concat("content", F.lit("*"))).otherwise(F.col("content"))
     right = left.filter("node_id % 11 <> 0").select("key", other.alias("other"))
     compared = left.join(right, "key", "left").withColumn("ok", F.coalesce(F.col("content") == F.col("other"), F.lit(False)))
