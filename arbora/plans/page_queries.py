@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.functions.records import shows_formula_error
-from arbora.operators import pages
+from arbora.operators import grids, pages
 from arbora.sources import files
 from arbora.sources.tables import table
 
@@ -98,9 +98,48 @@ def read_settings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", found["NAME"].alias("name"), found["SIZE"].alias("size"), F.size(found).cast("long").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (assembled_lines, caption_owners, carried_titles, style_slices, stitched_regions, forming_parts, pruned_index, publish_plan, file_report, read_settings)}
+def _ruled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as pages with a grid of three columns and two rows, an underline inside a cell, and lines of text."""
+    pages_of = table(spark, d, "orders").select(c("o_orderkey").alias("page"))
+    rule = lambda *b: F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), b)))
+    drawn = F.array(rule(0, 0, 1, 40), rule(50, 0, 51, 40), rule(50.5, 0, 51.5, 40), rule(80, 0, 81, 20), rule(100, 0, 101, 40), rule(0, 0, 100, 1), rule(0, 20, 100, 21), rule(0, 40, 100, 41), rule(10, 30, 20, 31), rule(0, 90, 100, 91))
+    rules = pages_of.select("page", F.explode(drawn).alias("r")).select("page", "r.*")
+    anchors = pages_of.select(c("page").cast("string").alias("id"), "page", F.lit(0.0).alias("below"), F.when(c("page") % 2 == 0, 60.0).alias("above"))
+    x, y = c("l_quantity") * 2 + 0.25, c("l_linenumber") * 7.0 - 6
+    lines = table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("page"), "l_linenumber").agg(F.min("l_quantity").alias("l_quantity")).select("page", _string("n", c("l_linenumber")).alias("text"), x.alias("x0"), y.alias("y0"), (x + 8).alias("x1"), (y + 2).alias("y1"))
+    return anchors, rules, lines
+
+
+def ruled_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The text of the cells of ruled grids."""
+    anchors, rules, lines = _ruled(spark, d)
+    return grids.filed_lines(lines, grids.grids(anchors, rules)).select("id", c("row").cast("long").alias("row"), c("col").cast("long").alias("col"), "text")
+
+
+def through_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Column edges that run through the whole of a ruled grid."""
+    anchors, rules, _ = _ruled(spark, d)
+    return grids.through_columns(grids.grids(anchors, rules), rules).groupBy("id").agg(F.count("*").alias("n"), F.max("x").alias("last"))
+
+
+def split_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of two numbers cut at the column edge between them."""
+    pieces = grids.split_at(_string(c("p_size"), "    ", c("p_partkey")), F.lit(0.0), F.lit(100.0), F.array(F.lit(45.0)))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(pieces, lambda p: F.concat_ws(":", p["band"].cast("string"), p["text"])), "|").alias("pieces"))
+
+
+QUERIES = {f.__name__: f for f in (ruled_cells, through_columns, split_lines, assembled_lines, caption_owners, carried_titles, style_slices, stitched_regions, forming_parts, pruned_index, publish_plan, file_report, read_settings)}
 
 ORACLES = {
+    "ruled_cells": """
+WITH l AS (SELECT l_orderkey AS page, l_linenumber AS n, min(l_quantity) * 2 + 0.25::DOUBLE AS x, l_linenumber * 7.0::DOUBLE - 6 AS y FROM lineitem GROUP BY 1, 2),
+k AS (SELECT page, n, y, x, CASE WHEN page % 2 = 0 THEN 40.5 ELSE 90.5 END AS foot FROM l),
+b AS (SELECT page::VARCHAR AS id, n, x, y, CASE WHEN y + 1 < 0.5 OR y + 1 >= foot THEN NULL WHEN y + 1 < 20.5 THEN 0 WHEN y + 1 < 40.5 THEN 1 ELSE 2 END::BIGINT AS row, CASE WHEN x < 0.5 OR x >= 100.5 THEN NULL WHEN x < 50.5 THEN 0 WHEN x < 80.5 THEN 1 ELSE 2 END::BIGINT AS col FROM k)
+SELECT id, row, col, string_agg('n' || n, ' ' ORDER BY y, x) AS text FROM b JOIN orders ON id = o_orderkey::VARCHAR WHERE row IS NOT NULL AND col IS NOT NULL GROUP BY 1, 2, 3""",
+    "through_columns": "SELECT o_orderkey::VARCHAR AS id, 3::BIGINT AS n, 100.5::DOUBLE AS last FROM orders WHERE o_orderkey % 2 = 0",
+    "split_lines": """
+WITH t AS (SELECT p_partkey, p_size::VARCHAR AS a, p_partkey::VARCHAR AS b FROM part), w AS (SELECT *, 100.0::DOUBLE / (length(a) + 4 + length(b)) AS u FROM t)
+SELECT p_partkey, CASE WHEN (u * length(a) / 2 >= 45) = (u * (length(a) + 4 + length(b) / 2) >= 45) THEN (CASE WHEN u * length(a) / 2 >= 45 THEN '1:' ELSE '0:' END) || a || ' ' || b ELSE '0:' || a || '|1:' || b END AS pieces FROM w""",
     "assembled_lines": """
 WITH s AS (SELECT l_orderkey AS line, l_linenumber AS n, min(l_partkey) AS p, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2 HAVING l_linenumber <> 3),
 g AS (SELECT line, trim(string_agg(' w' || p, '' ORDER BY n)) AS text, array_to_string(list_sort(list_distinct(list(CASE WHEN n % 2 = 0 THEN 'B' ELSE 'A' END))), '/') AS font, coalesce(sum(length(' w' || p)) FILTER (WHERE n < 3), 0) - 1 AS bold, min(q) AS x0, max(q) + 5 AS x1 FROM s GROUP BY 1)
