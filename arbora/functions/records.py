@@ -226,3 +226,46 @@ def citation(kind: Column, identifier: Column, division: Column) -> Column:
         .when(kind == "TableGroup", F.concat_ws("-", division, identifier))
         .otherwise(kind)
     )
+
+
+def rich_inline(text: Column) -> Column:
+    """The JSON array of a line's text nodes, bold and code as marks."""
+    node = lambda x: F.struct(F.lit("text").alias("type"), x["text"].alias("text"), F.when(x["mark"].isNotNull(), F.array(F.struct(x["mark"].alias("type")))).alias("marks"))
+    return F.to_json(F.transform(inline_tokens(text), node))
+
+
+def rich_paragraph(text: Column) -> Column:
+    return F.concat(F.lit('{"type":"paragraph","content":'), rich_inline(text), F.lit("}"))
+
+
+def rich_document(sections: Column) -> Column:
+    """The JSON of a description from sections (heading, text, items, ordered): headings, paragraphs and lists; an empty one is an empty paragraph."""
+    item = lambda x: F.concat(F.lit('{"type":"listItem","content":['), rich_paragraph(x), F.lit("]}"))
+    listed = lambda s: F.concat(F.lit('{"type":"'), F.when(s["ordered"], "orderedList").otherwise("bulletList"), F.lit('","content":['), F.array_join(F.transform(s["items"], item), ","), F.lit("]}"))
+    heading = lambda s: F.concat(F.lit('{"type":"heading","attrs":{"level":3},"content":'), rich_inline(s["heading"]), F.lit("}"))
+    nodes = F.flatten(F.transform(sections, lambda s: F.filter(F.array(heading(s), F.when(F.coalesce(s["text"], F.lit("")) != "", rich_paragraph(s["text"])), F.when(F.size(s["items"]) > 0, listed(s))), lambda x: x.isNotNull())))
+    whole = F.when(F.size(nodes) > 0, F.array_join(nodes, ",")).otherwise(F.lit('{"type":"paragraph","content":[]}'))
+    return F.concat(F.lit('{"type":"doc","version":1,"content":['), whole, F.lit("]}"))
+
+
+def escaped(text: Column) -> Column:
+    """Text as HTML shows it."""
+    for plain, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(plain), F.lit(code))
+    return text
+
+
+def html_row(cells: list[Column], css: Column | None = None) -> Column:
+    """A table row of escaped cells, null ones empty, in a class where one is given."""
+    start = F.lit("<tr>") if css is None else F.concat(F.lit('<tr class="'), css, F.lit('">'))
+    return F.concat(start, *(x for c in cells for x in (F.lit("<td>"), F.coalesce(escaped(c.cast("string")), F.lit("")), F.lit("</td>"))), F.lit("</tr>"))
+
+
+def card(label: str, value: Column) -> Column:
+    return F.struct(F.lit(label).alias("label"), value.alias("value"))
+
+
+def pair_record(key: Column, verdict: Column, score: Column, cached: Column, error: Column, cost: Column) -> Column:
+    """What a run tells of a pair: an error has no cost and no cached answer, a cached one costs nothing now."""
+    failed = error.isNotNull()
+    return F.struct(key.alias("key"), F.when(failed, "ERROR").otherwise(verdict).alias("verdict"), score.alias("score"), (cached & ~failed).alias("cached"), F.when(~failed & ~cached, cost).alias("cost_now"), F.when(~failed, cost).alias("cost"), error.alias("error"))

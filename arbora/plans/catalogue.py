@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("tree_queries", "join_queries", "window_queries", "aggregate_queries", "text_queries", "structure_queries", "record_queries", "compare_queries", "page_queries", "owner_queries", "island_queries")
+MODULES: tuple[str, ...] = ("tree_queries", "join_queries", "window_queries", "aggregate_queries", "text_queries", "structure_queries", "record_queries", "compare_queries", "page_queries", "owner_queries", "report_queries", "island_queries")
 
 
 def _collected(attribute: str) -> dict:
