@@ -10,6 +10,8 @@ from functools import cache
 
 from pyspark.sql import DataFrame
 
+from arbora.sources.shipping import ship
+
 
 @cache
 def _own_dir() -> str:
@@ -42,6 +44,7 @@ def unstage(df: DataFrame) -> None:
 
 def staged(df: DataFrame) -> DataFrame:
     """Write as Parquet to the shared folder and read it back: a compressed, columnar checkpoint."""
+    ship(df.sparkSession)
     path = f"{_folder(df)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
