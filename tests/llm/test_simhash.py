@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -120,3 +121,31 @@ def test_templated_pages_against_brute_force(docs_of):
     found = {r.doc_id: r.component_id for r in near_duplicates(docs_of(texts)).collect()}
     groups = brute_groups(texts)
     assert [found[i] for i in range(len(texts))] == groups and len(set(groups)) == 150
+
+
+def test_a_large_group_of_copies_against_brute_force(docs_of):
+    """1,500 copies of 200 words, three of them replaced in each: every pair's similarity counts, none is lost in the group."""
+    rng = random.Random(9)
+    base = ["word%d" % i for i in range(200)]
+    texts = []
+    for i in range(1500):
+        own = list(base)
+        for n, k in enumerate(rng.sample(range(200), 3)):
+            own[k] = f"other{i}x{n}"
+        texts.append(own)
+    index: dict = {}
+    sets = [sorted({index.setdefault(tuple(t[k : k + 5]), len(index)) for k in range(196)}) for t in texts]
+    marks = np.zeros((len(texts), len(index)), np.float32)
+    for row, own in zip(marks, sets):
+        row[own] = 1
+    shared = marks @ marks.T
+    sizes = np.array(list(map(len, sets)))
+    near = shared >= 0.8 * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
+    group = np.arange(len(texts))
+    while True:
+        least = np.where(near, group[None, :], len(texts)).min(1)
+        if (least == group).all():
+            break
+        group = least
+    found = {r.doc_id: r.component_id for r in near_duplicates(docs_of([" ".join(t) for t in texts])).collect()}
+    assert [found[i] for i in range(len(texts))] == group.tolist() and near.sum() > 30_000
