@@ -39,9 +39,10 @@ SAMPLE_DOCS = 400
 SAMPLE_ROUNDS = 15
 CORPUS_ROUNDS = 2
 PRIOR_TOKENS = 200.0
-HELD_COUNTS = 500_000
+HELD_COUNTS = 250_000
 CELL_TOKENS = 1 << 19
 TOGETHER = 1024
+SLICE_ROWS = 2048
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -200,6 +201,13 @@ def vocabulary(counted: DataFrame, head: int = HEAD, classes: int = CLASSES) ->
     return Vocabulary(dict(zip(words, map(int, rows["n"]))), {w: i for i, w in enumerate(words[:classes])}, int(total), int(distinct))
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLICE_ROWS rows at most, as what is held for a row in Python is many times its text."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(begin, SLICE_ROWS)
+
+
 def _symbols_of(words: list[bytes], symbols: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(symbols.get, words, repeat(len(symbols))), np.int32, len(words))
 
@@ -209,7 +217,7 @@ def _expectation(shipped):
         symbols, model = shipped.value
         k, rows = len(model.start), len(model.emissions)
         table = np.zeros((rows + k + 1, k))
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [_symbols_of(tokens(t), symbols) for t in texts_of(batch.column(0))]
             if texts:
                 starts, moves, emissions = expected(texts, model)
@@ -245,7 +253,7 @@ def _scored(shipped):
         base_log, rare_log = math.log10(words.base_total), math.log10(words.rare_total)
         logs = {w: math.log10(c + ADDED) for w, c in head.items()}
         unseen = math.log10(ADDED)
-        for batch in batches:
+        for batch in _slices(batches):
             out, texts, tail = [], [], []
             for k1, k2, doc_id, held_out, text in zip(*(batch.column(i).to_pylist() for i in range(4)), texts_of(batch.column(4))):
                 own = tokens(text)
