@@ -14,7 +14,8 @@ prefix-filtered set join and finds every such pair's group: each text's shingles
 texts that similar share one of the first ``size - ceil(0.8 size) + 1`` of each. Any one order is right; shingles that many texts hold
 come last (CARRIED of them, those counted over WINDOW times), so that few texts meet at them. Texts that meet at a shingle are compared
 by whole sets: first each with a few of the group, and then, in two groups that this did not join, every pair that sizes
-and places allow. Nothing is sampled.
+and places allow. Nothing is sampled. ``near_groups`` with ``bits``, as the pipeline has it, links all texts that
+``simhash_groups`` links first; the set join then adds the pairs that are similar but further apart.
 
 Defined cases: null and empty texts have fingerprint zero, linked like any other; texts of fewer words than a shingle have one
 feature, the whole; equal texts are one class before links are sought; rows with a null id get the id of their group, null if
@@ -143,12 +144,16 @@ def linked_fingerprints(prints: DataFrame, bits: int = 2) -> DataFrame:
     return pairs.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b").distinct()
 
 
+def _rooted(classes: DataFrame, bits: int) -> DataFrame:
+    """``classes`` (print, once each) with root, the least print reachable by links."""
+    roots = components(linked_fingerprints(classes, bits)).withColumnRenamed("node", "print")
+    return classes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
+
+
 def simhash_groups(docs: DataFrame, bits: int = 2, n: int = 3) -> DataFrame:
     """doc_id, print and component_id (the least doc_id reachable by links) of each row."""
     rows = staged(fingerprints(docs, n))
-    classes = staged(rows.groupBy("print").agg(F.min("doc_id").alias("least")))
-    roots = components(linked_fingerprints(classes, bits)).withColumnRenamed("node", "print")
-    members = classes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
+    members = _rooted(staged(rows.groupBy("print").agg(F.min("doc_id").alias("least"))), bits)
     ids = members.groupBy("root").agg(F.min("least").alias("component_id"))
     return joined_hot(rows, members.join(ids, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
@@ -179,13 +184,15 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(values[n > 1]), pa.array(n[n > 1].astype(np.int64))], ["shingle", "n"])
 
 
-def _prefixes(shipped, least: float):
-    """The shingles that a text as similar must meet one of, by place; ``shipped`` has the common ones, sorted, and their counts."""
+def _prefixes(shipped, least: float, n: int | None):
+    """The shingles that a text as similar must meet one of, by place; ``shipped`` has the common ones, sorted, and their counts.
+
+    With ``n``, the fingerprint of the text's ``n``-word shingles, too; else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shipped.value
         for batch in batches:
-            keys, sizes, prefixes = [], [], []
+            keys, prints, sizes, prefixes = [], [], [], []
             others = batch.schema.names[:-1]
             for text in texts_of(batch.column("text")):
                 words = ascii_words(text)
@@ -193,9 +200,10 @@ def _prefixes(shipped, least: float):
                 at = np.searchsorted(common, hashes).clip(max=len(common) - 1)
                 order = np.lexsort((hashes, np.where(common[at] == hashes, counts[at], 0)))
                 keys.append(_key(words))
+                prints.append(n and int(majority(shingles(words, n)).view(">i8")[0]))
                 sizes.append(len(hashes))
                 prefixes.append(hashes[order[: len(hashes) - math.ceil(least * len(hashes) - ROUNDING) + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], [*others, "key", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(keys, pa.int64()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], [*others, "key", "print", "size", "prefix"])
 
     return run
 
@@ -267,15 +275,25 @@ def _ordered_pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame, least: float = SIMILAR, carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, root (the key of its group) and ``carried`` columns of each row; see near_duplicates."""
+def _linked_keys(rows: DataFrame, bits: int) -> DataFrame:
+    """(a, b): each key of ``rows`` (key, print) and the least key that its fingerprint reaches by links."""
+    keys = staged(rows.groupBy("key").agg(F.first("print").alias("print")))
+    members = staged(_rooted(staged(keys.groupBy("print").agg(F.min("key").alias("least"))), bits))
+    leasts = members.select("print", "root").join(members.groupBy("root").agg(F.min("least").alias("b")).hint("merge"), "root").select("print", "b")
+    return joined_hot(keys, leasts, "print").select(F.col("key").alias("a"), "b").filter("a <> b")
+
+
+def near_groups(docs: DataFrame, least: float = SIMILAR, carried: tuple[str, ...] = (), bits: int | None = None, n: int = 3) -> DataFrame:
+    """doc_id, root (the key of its group) and ``carried`` columns of each row; see near_duplicates.
+
+    With ``bits``, texts that simhash_groups links at ``bits`` and ``n`` are linked as well."""
     context = docs.sparkSession.sparkContext
     counted = docs.select("text").mapInArrow(_repeated, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     common = counted.filter(F.col("n") > WINDOW).orderBy(F.desc("n"), "shingle").limit(CARRIED).toPandas().sort_values("shingle")
     shipped = context.broadcast((np.r_[common["shingle"].to_numpy(np.int64), np.iinfo(np.int64).max], np.r_[common["n"].to_numpy(np.int64), 0]))
     more = [f for f in docs.schema if f.name in carried]
-    schema = ", ".join(["doc_id long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in more), "key long, size int, prefix binary"])
-    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(f.name for f in more), "text").mapInArrow(_prefixes(shipped, least), schema))
+    schema = ", ".join(["doc_id long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in more), "key long, print long, size int, prefix binary"])
+    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(f.name for f in more), "text").mapInArrow(_prefixes(shipped, least, None if bits is None else n), schema))
     classes = rows.groupBy("key").agg(F.first(F.struct("size", "prefix")).alias("x")).select("key", "x.size", "x.prefix")
     listed = classes.mapInArrow(_listed, "shingle long, node long, size int, at int")
     shared = staged(listed.withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).filter("n > 1").drop("n"))
@@ -283,7 +301,8 @@ def near_groups(docs: DataFrame, least: float = SIMILAR, carried: tuple[str, ...
     centres = shared.groupBy("shingle").agg(*(F.min_by(row, F.xxhash64("node", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)))
     centres = centres.select("shingle", F.explode(F.array(*(f"c{i}" for i in range(CENTRES)))).alias("other"))
     tried = staged(_ordered_pairs(shared.join(centres.hint("merge"), "shingle").filter(F.col("node") != F.col("other.node")).filter(_may_be_similar(least))))
-    kept = staged(_verified(docs, tried, least))
+    kept = _verified(docs, tried, least)
+    kept = staged(kept if bits is None else kept.unionByName(_linked_keys(rows, bits)))
     roots = components(kept).withColumnRenamed("root", "r")
     rooted = shared.join(roots.hint("merge"), "node", "left").withColumn("r", F.coalesce("r", "node"))
     apart = rooted.groupBy("shingle").agg(F.min("r").alias("low"), F.max("r").alias("high")).filter("low <> high").select("shingle")

@@ -11,6 +11,7 @@ from arbora.llm.line_dedup import dedup_lines
 from arbora.llm.mixing import mix
 from arbora.llm.quality import KEPT, fit, judged
 from arbora.llm.simhash import near_groups
+from arbora.llm.simhash_query import LINK_BITS
 from arbora.sources.tables import table
 
 LEAST_DOCS = 10
@@ -28,10 +29,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays, that with the least id. Rows without an id stay, as no id can tell them apart."""
+    """One row of each group stays, that with the least id: texts are linked by op8's fingerprints, and by the set join beyond their
+    reach. Rows without an id stay, as no id can tell them apart."""
     row = ["__k1", "__k2"]
     keyed = docs.withColumns(dict(zip(row, row_keys(*docs.columns))))
-    groups = staged(near_groups(keyed, carried=tuple(row)))
+    groups = staged(near_groups(keyed, carried=tuple(row), bits=LINK_BITS))
     kept = groups.filter("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", *row)).alias("x")).select("x.__k1", "x.__k2")
     repeated = not groups.filter("doc_id IS NOT NULL").groupBy(*row).count().filter("count > 1").isEmpty()
     stay = keyed.join(kept.hint("merge"), row, "left_semi")  # as many as documents, so never broadcast

@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from arbora.llm.common import staged
+from arbora.llm.simhash import fingerprints
 from arbora.sources.tables import table
 
 DATA = "/root/testdata/sf0.001"
@@ -39,3 +40,15 @@ def test_near_dedup_tells_rows_of_one_id_apart(spark, docs_of):
     docs = docs_of([(5, one, "a"), (5, two, "a"), (5, two, "a"), (5, two, "b"), (3, one, "b"), (None, three, "a"), (None, three, "a")])
     found = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()), key=str)
     assert found == sorted([(3, one), (5, two), (None, three), (None, three)], key=str)
+
+
+def test_near_dedup_takes_the_links_of_fingerprints_and_of_whole_sets(spark, docs_of):
+    """0 and 1 are of one fingerprint and share few shingles; 2 and 3 share over 0.8 and are further apart."""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    refrain = "to be sung " * 200
+    texts = [refrain + words("first", 60), refrain + words("second", 60), words("page", 200), words("page", 200) + " " + words("tail", 40)]
+    texts += [refrain + words("second", 60) + " so be it", words("lone", 80), refrain.upper() + words("third", 60)]
+    docs = docs_of(texts)
+    prints = {r.doc_id: r.print % 2**64 for r in fingerprints(docs).collect()}
+    assert prints[0] == prints[1] == prints[6] and (prints[2] ^ prints[3]).bit_count() > 2
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()) == [0, 2, 5]
