@@ -6,9 +6,10 @@ alphabet: chi-squared uniformity of its symbols, runs of symbols of one class (d
 against those that the alphabet leads to expect, and serial correlation at distance one. Fisher's method combines the three
 into ``fit``, the probability that random symbols look no more random than these.
 
-A token is found random against what words and identifiers give: each text lends its first run of words, written as an
-identifier (joined by capitals, slashes, dashes, ... and ended by digits) of every encoding and stratum of length that the corpus'
-tokens have, cut to a length that varies by text; these null tokens take the same battery. A token's p-value is the share of null tokens of its encoding and length that
+A token is found random against what words and identifiers give: each text lends all its runs of words. A run is written as
+identifiers (joined by capitals, slashes, dashes, ... and ended by digits) of an encoding and stratum of length that the corpus'
+tokens have, drawn by hash among those it is long enough for, and cut from end to end at a length that varies by run, the last
+identifier ending where the run ends; these null tokens take the same battery. A token's p-value is the share of null tokens of its encoding and length that
 fit as well as it does, itself included. Benjamini-Hochberg within strata of length decides which p-values are discoveries, so the
 rate of words and identifiers among the spans of kind random is what is controlled, and short tokens, where the battery tells
 little apart, do not set the level of long ones. The null and the levels come from counts in LOG_BINS fixed bins an encoding
@@ -17,7 +18,7 @@ and stratum, tables of fixed size.
 Spans are found by lengths of matches and of the pieces between them, added up by window functions within a row.
 
 Defined cases: null and empty texts have no span; rows with equal id and text are found once and reported for each row; where
-no text lends a run of words nothing is random; an empty table gives an empty result; further columns are ignored. Places are
+no text lends a run of words that is long enough nothing is random; an empty table gives an empty result; further columns are ignored. Places are
 code points, ends exclusive.
 """
 
@@ -53,7 +54,7 @@ ENCODINGS = (
 CLASSES = (DIGITS, UPPER, LOWER, "+/-_")
 STRATA = (28, 36, 48, 72, 128)
 LEVEL = 0.05
-WORD_RUN = r"(?<![A-Za-z])[A-Za-z]++(?:[^A-Za-z0-9]{1,2}[A-Za-z]++){3,120}"
+WORD_RUN = r"(?<![A-Za-z])[A-Za-z]++(?:[^A-Za-z0-9]{1,2}[A-Za-z]++){3,}+"
 LONGEST = 192
 ROW = ["k1", "k2"]
 LOG_BINS, BINS_PER_TEN = 400, 20
@@ -135,9 +136,9 @@ def tested(tokens: DataFrame) -> DataFrame:
 
 
 def null_tokens(docs: DataFrame, groups: list[tuple[str, int]]) -> DataFrame:
-    """(token, encoding): of each row of ``docs`` (text) with a run of words, an identifier of those words for every (encoding, stratum)."""
-    run = docs.select(F.regexp_extract(F.coalesce("text", F.lit("")), WORD_RUN, 0).alias("run"), F.xxhash64("text").alias("h")).filter("run <> ''")
-    spaced = run.select(F.regexp_replace("run", "[^A-Za-z]+", " ").alias("words"), "h", F.pmod("h", F.lit(1000)).cast("string").alias("digits"))
+    """(token, encoding): every run of words of ``docs`` (text) as identifiers of one of the (encoding, stratum) it is long enough for."""
+    runs = docs.select(F.xxhash64("text").alias("t"), F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD_RUN), F.lit(0))).alias("nth", "run"))
+    spaced = runs.select(F.regexp_replace("run", "[^A-Za-z]+", " ").alias("words"), F.xxhash64("t", "nth").alias("h")).withColumn("digits", F.pmod("h", F.lit(1000)).cast("string"))
     joined = lambda column, mark: F.replace(column, F.lit(" "), F.lit(mark))
     words = F.col("words")
     styles = {
@@ -149,14 +150,21 @@ def null_tokens(docs: DataFrame, groups: list[tuple[str, int]]) -> DataFrame:
         "base64url": joined(words, "-"),
     }
     bounds = [LEAST_TOKEN, *STRATA, LONGEST]
-    cut = [F.struct(F.lit("hex").alias("encoding"), F.lit("").alias("token"))]
+    fitting = [F.struct(F.lit("hex").alias("encoding"), F.lit(1).alias("size"), F.lit(0).alias("long"))]
     for encoding, stratum in groups:
         least, most = bounds[stratum], bounds[stratum + 1]
-        ends = F.translate("digits", "0189", "2345") if encoding == "base32" else F.col("digits")
         length = (least + F.pmod(F.shiftright("h", 10), F.lit(most - least))).cast("int")
-        body = F.substring(styles[encoding], F.lit(1), length - F.length("digits"))
-        cut.append(F.struct(F.lit(encoding).alias("encoding"), F.when(F.char_length(body) == length - F.length("digits"), F.concat(body, ends)).otherwise("").alias("token")))
-    return spaced.select(F.explode(F.array(*cut)).alias("x")).select("x.token", "x.encoding").filter("token <> ''")
+        fitting.append(F.struct(F.lit(encoding).alias("encoding"), (length - F.length("digits")).alias("size"), F.char_length(styles[encoding]).alias("long")))
+    able = spaced.withColumn("able", F.filter(F.array(*fitting), lambda x: x["long"] >= x["size"])).filter(F.size("able") > 0)
+    drawn = able.withColumn("x", F.get("able", F.pmod(F.shiftrightunsigned("h", 32), F.size("able")).cast("int"))).select("words", "digits", "x.encoding", "x.size")
+    styled = F.lit(None).cast("string")
+    for encoding, style in styles.items():
+        styled = F.when(F.col("encoding") == encoding, style).otherwise(styled)
+    whole = drawn.withColumn("whole", styled)
+    pieces = F.regexp_extract_all("whole", F.concat(F.lit(".{"), F.col("size").cast("string"), F.lit("}")), F.lit(0))
+    last = F.when(F.char_length("whole") % F.col("size") > 0, F.array(F.right("whole", F.col("size")))).otherwise(F.array().cast("array<string>"))
+    ends = F.when(F.col("encoding") == "base32", F.translate("digits", "0189", "2345")).otherwise(F.col("digits"))
+    return whole.select("encoding", ends.alias("ends"), F.explode(F.concat(pieces, last)).alias("body")).select(F.concat("body", "ends").alias("token"), "encoding")
 
 
 def _stratum() -> Column:
@@ -171,7 +179,7 @@ def discovered(judged: DataFrame, null: DataFrame, level: float = LEVEL) -> Data
     """``judged`` (encoding, length, fit) with p, by the null's fits, and random, whether p is a discovery among its length's."""
     marked = judged.withColumn("stratum", _stratum()).withColumn("bin", _bin())
     group = ["encoding", "stratum"]
-    counted = null.withColumn("stratum", _stratum()).withColumn("bin", _bin()).groupBy(*group, "bin").agg(F.count("*").alias("n"))
+    counted = staged(null.withColumn("stratum", _stratum()).withColumn("bin", _bin()).groupBy(*group, "bin").agg(F.count("*").alias("n")))
     asked = marked.select(*group, "bin").distinct().withColumn("n", F.lit(0).cast("long"))  # so that each token's bin is in the table
     as_well = F.sum("n").over(Window.partitionBy(*group).orderBy("bin"))
     whole = F.sum("n").over(Window.partitionBy(*group))
@@ -193,7 +201,7 @@ def spans(docs: DataFrame) -> DataFrame:
     tokens = encoded(placed.filter(F.col("kind") == RANDOM))
     judged = staged(tested(tokens))
     groups = sorted((r.encoding, r.stratum) for r in judged.select("encoding", _stratum().alias("stratum")).distinct().collect())  # of a fixed set
-    found = discovered(judged, staged(tested(null_tokens(docs, groups))))
+    found = discovered(judged, tested(null_tokens(docs, groups)))
     return base.unionByName(found.select(*ROW, "kind", "start", "end", "encoding", "p", "random"), allowMissingColumns=True)
 
 

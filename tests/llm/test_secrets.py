@@ -111,3 +111,16 @@ def test_battery_against_plain_arithmetic(spark):
 def test_encodings(spark):
     rows = secrets.encoded(spark.createDataFrame([("a1" * 12,), ("plainword",), ("ABCDEF0123456789abcdef01",), ("getUserName2",), ("a/b-c1",)], "token string")).collect()
     assert {r.token: r.encoding for r in rows} == {"a1" * 12: "hex", "ABCDEF0123456789abcdef01": "hex", "getUserName2": "base62"}
+
+
+def test_null_tokens_are_made_of_whole_texts(docs_of):
+    """Every letter of each run of words stands in a null token, also where runs are long or late in the text."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("ghijklmnopqrstuvwxyz", k=rng.randrange(3, 9)))
+    runs = [[word() for _ in range(n)] for n in (12, 30, 400, 7000, 25)]
+    text = " 1234 ".join(" ".join(run) for run in runs)
+    found = [r.token.rstrip("0123456789") for r in secrets.null_tokens(docs_of([text, None, "too short a"]), [("base36", 1), ("base36", 0)]).collect()]
+    for run in map("".join, runs):
+        places = {i for t in found if t in run for i in range(run.index(t), run.index(t) + len(t))}
+        assert len(places) == len(run)
+    assert all(any(t in "".join(run) for run in runs) for t in found)
