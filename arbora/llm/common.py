@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.sources.staging import release as release
 from arbora.sources.staging import staged as staged
 
 HOT_ROWS = 100_000

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbora.llm.common import ascii_words, joined_hot, staged, texts_of
+from arbora.llm.common import ascii_words, joined_hot, release, staged, texts_of
 from arbora.llm.components import components
 
 SEED = 42
@@ -276,11 +276,16 @@ def _ordered_pairs(met: DataFrame) -> DataFrame:
 
 
 def _linked_keys(rows: DataFrame, bits: int) -> DataFrame:
-    """(a, b): each key of ``rows`` (key, print) and the least key that its fingerprint reaches by links."""
+    """(a, b): links of keys of ``rows`` (key, print) that join all keys whose fingerprints reach each other.
+
+    Of the keys of one fingerprint each is linked to the least, and the least of two fingerprints within ``bits`` to each other."""
     keys = staged(rows.groupBy("key").agg(F.first("print").alias("print")))
-    members = staged(_rooted(staged(keys.groupBy("print").agg(F.min("key").alias("least"))), bits))
-    leasts = members.select("print", "root").join(members.groupBy("root").agg(F.min("least").alias("b")).hint("merge"), "root").select("print", "b")
-    return joined_hot(keys, leasts, "print").select(F.col("key").alias("a"), "b").filter("a <> b")
+    classes = staged(keys.groupBy("print").agg(F.min("key").alias("least"), F.count("*").alias("n")))
+    pairs = linked_fingerprints(classes, bits)
+    for end in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("print").alias(end), F.col("least").alias(f"{end}_key")).hint("merge"), end)
+    shared = joined_hot(keys, classes.filter("n > 1").select("print", F.col("least").alias("b")), "print").select(F.col("key").alias("a"), "b").filter("a <> b")
+    return shared.unionByName(pairs.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")))
 
 
 def near_groups(docs: DataFrame, least: float = SIMILAR, carried: tuple[str, ...] = (), bits: int | None = None, n: int = 3) -> DataFrame:
@@ -303,6 +308,7 @@ def near_groups(docs: DataFrame, least: float = SIMILAR, carried: tuple[str, ...
     tried = staged(_ordered_pairs(shared.join(centres.hint("merge"), "shingle").filter(F.col("node") != F.col("other.node")).filter(_may_be_similar(least))))
     kept = _verified(docs, tried, least)
     kept = staged(kept if bits is None else kept.unionByName(_linked_keys(rows, bits)))
+    release(kept)
     roots = components(kept).withColumnRenamed("root", "r")
     rooted = shared.join(roots.hint("merge"), "node", "left").withColumn("r", F.coalesce("r", "node"))
     apart = rooted.groupBy("shingle").agg(F.min("r").alias("low"), F.max("r").alias("high")).filter("low <> high").select("shingle")
@@ -310,8 +316,10 @@ def near_groups(docs: DataFrame, least: float = SIMILAR, carried: tuple[str, ...
     others = rooted.select("shingle", F.struct("node", "size", "at", "r").alias("other")).hint("merge")
     met = rooted.join(others, "shingle").filter((F.col("node") < F.col("other.node")) & (F.col("r") != F.col("other.r"))).filter(_may_be_similar(least))
     untried = staged(_ordered_pairs(met).join(tried.hint("merge"), ["a", "b"], "left_anti"))
+    release(untried)
     if not untried.isEmpty():
-        roots = components(kept.unionByName(_verified(docs, untried, least))).withColumnRenamed("root", "r")
+        found = roots.select(F.col("node").alias("a"), F.col("r").alias("b"))  # each group as a star
+        roots = components(found.unionByName(_verified(docs, untried, least))).withColumnRenamed("root", "r")
     roots = roots.withColumnRenamed("node", "key")
     found = joined_hot(rows.select("doc_id", *(f.name for f in more), "key"), roots, "key", "left")
     return found.withColumn("root", F.coalesce("r", "key")).drop("key", "r")

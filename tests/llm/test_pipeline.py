@@ -52,3 +52,16 @@ def test_near_dedup_takes_the_links_of_fingerprints_and_of_whole_sets(spark, doc
     prints = {r.doc_id: r.print % 2**64 for r in fingerprints(docs).collect()}
     assert prints[0] == prints[1] == prints[6] and (prints[2] ^ prints[3]).bit_count() > 2
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()) == [0, 2, 5]
+
+
+def test_near_dedup_runs_few_jobs(spark, docs_of):
+    """Each job and exchange leaves a thread on the driver for a minute, which small inputs fill its memory with."""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    docs = staged(docs_of([words("page", 200), words("page", 200) + " " + words("tail", 40), words("page", 200) + " more", words("lone", 80)] * 2 + ["", "x"]))
+    spark.sparkContext.setJobGroup("near", "near")
+    try:
+        kept = corpus_pipeline.near_dedup(spark, docs, DATA).count()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near"))
+    assert kept == 4 and jobs <= 88
