@@ -136,7 +136,10 @@ def tested(tokens: DataFrame) -> DataFrame:
 
 
 def null_tokens(docs: DataFrame, groups: list[tuple[str, int]]) -> DataFrame:
-    """(token, encoding): every run of words of ``docs`` (text) as identifiers of one of the (encoding, stratum) it is long enough for."""
+    """(token, encoding): every run of words of ``docs`` (text) as identifiers of one of the (encoding, stratum) it is long enough for.
+
+    What a run can be is judged by lengths alone, and only the style drawn is written. Rows without a token go after the last
+    explode: a filter before it, and one that Spark infers from an inner explode, would be moved below and work out all of this again."""
     runs = docs.select(F.xxhash64("text").alias("t"), F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD_RUN), F.lit(0))).alias("nth", "run"))
     spaced = runs.select(F.regexp_replace("run", "[^A-Za-z]+", " ").alias("words"), F.xxhash64("t", "nth").alias("h")).withColumn("digits", F.pmod("h", F.lit(1000)).cast("string"))
     joined = lambda column, mark: F.replace(column, F.lit(" "), F.lit(mark))
@@ -149,14 +152,17 @@ def null_tokens(docs: DataFrame, groups: list[tuple[str, int]]) -> DataFrame:
         "base64": joined(words, "/"),
         "base64url": joined(words, "-"),
     }
+    spaced = spaced.withColumn("of_hex", F.char_length(styles["hex"])).withColumn("of_words", F.char_length("words")).withColumn("of_letters", F.char_length(joined(words, "")))
+    long_by = {"hex": "of_hex", "base64": "of_words", "base64url": "of_words"}  # other styles hold the letters alone
     bounds = [LEAST_TOKEN, *STRATA, LONGEST]
     fitting = [F.struct(F.lit("hex").alias("encoding"), F.lit(1).alias("size"), F.lit(0).alias("long"))]
     for encoding, stratum in groups:
         least, most = bounds[stratum], bounds[stratum + 1]
         length = (least + F.pmod(F.shiftright("h", 10), F.lit(most - least))).cast("int")
-        fitting.append(F.struct(F.lit(encoding).alias("encoding"), (length - F.length("digits")).alias("size"), F.char_length(styles[encoding]).alias("long")))
-    able = spaced.withColumn("able", F.filter(F.array(*fitting), lambda x: x["long"] >= x["size"])).filter(F.size("able") > 0)
-    drawn = able.withColumn("x", F.get("able", F.pmod(F.shiftrightunsigned("h", 32), F.size("able")).cast("int"))).select("words", "digits", "x.encoding", "x.size")
+        fitting.append(F.struct(F.lit(encoding).alias("encoding"), (length - F.length("digits")).alias("size"), F.col(long_by.get(encoding, "of_letters")).alias("long")))
+    able = spaced.withColumn("able", F.filter(F.array(*fitting), lambda x: x["long"] >= x["size"]))
+    nth = F.pmod(F.shiftrightunsigned("h", 32), F.greatest(F.size("able"), F.lit(1))).cast("int")  # null of none
+    drawn = able.withColumn("x", F.get("able", nth)).select("words", "digits", "x.encoding", "x.size")
     styled = F.lit(None).cast("string")
     for encoding, style in styles.items():
         styled = F.when(F.col("encoding") == encoding, style).otherwise(styled)
@@ -164,7 +170,8 @@ def null_tokens(docs: DataFrame, groups: list[tuple[str, int]]) -> DataFrame:
     pieces = F.regexp_extract_all("whole", F.concat(F.lit(".{"), F.col("size").cast("string"), F.lit("}")), F.lit(0))
     last = F.when(F.char_length("whole") % F.col("size") > 0, F.array(F.right("whole", F.col("size")))).otherwise(F.array().cast("array<string>"))
     ends = F.when(F.col("encoding") == "base32", F.translate("digits", "0189", "2345")).otherwise(F.col("digits"))
-    return whole.select("encoding", ends.alias("ends"), F.explode(F.concat(pieces, last)).alias("body")).select(F.concat("body", "ends").alias("token"), "encoding")
+    cut = whole.select("encoding", ends.alias("ends"), F.explode_outer(F.concat(pieces, last)).alias("body")).filter("body IS NOT NULL")
+    return cut.select(F.concat("body", "ends").alias("token"), "encoding")
 
 
 def _stratum() -> Column:

@@ -124,3 +124,12 @@ def test_null_tokens_are_made_of_whole_texts(docs_of):
         places = {i for t in found if t in run for i in range(run.index(t), run.index(t) + len(t))}
         assert len(places) == len(run)
     assert all(any(t in "".join(run) for run in runs) for t in found)
+
+
+def test_null_tokens_write_each_style_once(docs_of):
+    """Styles are written for what is drawn alone: the plan holds each once, not again for each group and in filters moved below."""
+    groups = [(n, s) for n, *_ in secrets.ENCODINGS for s in range(len(secrets.STRATA) + 1)]
+    found = secrets.null_tokens(docs_of(["many words of a text stand here in one long run " * 20, "short one"]), groups)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("initcap(") == 1 and plan.count("upper(") == 1
+    assert found.count() > 0
