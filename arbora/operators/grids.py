@@ -1,7 +1,8 @@
 """Table grids from the rules that are drawn on a page, and the text in their cells.
 
 Rules are boxes (page, x0, y0, x1, y1), anchors (id, page, below, above) say where a table is looked for: from ``below`` down to
-``above``, the foot of the page where that is null. Everything is grouped by anchor, so pages are never gathered."""
+``above``, the foot of the page where that is null. Everything is grouped by anchor, so pages are never gathered. Rules
+and grids meet by sort and merge: Spark takes a table of few columns, and rules made by an explode, for far smaller than they are."""
 
 from __future__ import annotations
 
@@ -21,11 +22,13 @@ def grids(anchors: DataFrame, rules: DataFrame) -> DataFrame:
     Columns come from the vertical rules in the band, rows from the horizontal ones that run from column edge to column edge."""
     box = [F.col(n) for n in ("x0", "y0", "x1", "y1")]
     drawn = rules.withColumn("kind", rule_kind(box)).filter("kind IS NOT NULL")
-    near = anchors.join(drawn, "page").filter(in_band(F.col("y0"), F.col("below"), F.col("above")))
-    upright = near.filter("kind = 'vertical'").groupBy("id").agg(merged_boundaries(F.collect_list((F.col("x0") + F.col("x1")) / 2)).alias("col_xs"))
-    level = near.filter("kind = 'horizontal'").join(upright, "id").filter(is_row_rule(F.col("x0"), F.col("x1"), F.col("col_xs")))
-    rows = level.groupBy("id").agg(merged_boundaries(F.collect_list((F.col("y0") + F.col("y1")) / 2)).alias("row_ys"))
-    found = anchors.join(upright, "id").join(rows, "id")
+    near = anchors.join(drawn.hint("merge"), "page").filter(in_band(F.col("y0"), F.col("below"), F.col("above")))
+    upright = F.when(F.col("kind") == "vertical", (F.col("x0") + F.col("x1")) / 2)
+    level = F.when(F.col("kind") == "horizontal", F.struct("x0", "x1", ((F.col("y0") + F.col("y1")) / 2).alias("mid")))
+    drawn_by = near.groupBy("id").agg(merged_boundaries(F.collect_list(upright)).alias("col_xs"), F.collect_list(level).alias("__level"))
+    across = F.filter("__level", lambda r: is_row_rule(r["x0"], r["x1"], F.col("col_xs")))
+    edged = drawn_by.select("id", "col_xs", merged_boundaries(F.transform(across, lambda r: r["mid"])).alias("row_ys"))
+    found = anchors.join(edged.hint("merge"), "id")
     return found.filter((F.size("row_ys") > LEAST_ROWS) & (F.size("col_xs") > LEAST_COLUMNS))
 
 
@@ -33,8 +36,9 @@ def through_columns(found: DataFrame, rules: DataFrame) -> DataFrame:
     """(id, x) of the column edges whose rules run the whole height of the grid."""
     box = [F.col(n) for n in ("x0", "y0", "x1", "y1")]
     upright = rules.filter(rule_kind(box) == "vertical").select("page", ((F.col("x0") + F.col("x1")) / 2).alias("mid"), "y0", "y1")
-    edges = found.select("id", "page", F.explode("col_xs").alias("x"), F.get("row_ys", 0).alias("top"), F.element_at("row_ys", -1).alias("foot"))
-    met = edges.join(upright, "page").filter(F.abs(F.col("mid") - F.col("x")) <= SAME_EDGE).groupBy("id", "x", "top", "foot").agg(F.min("y0").alias("from"), F.max("y1").alias("to"))
+    edges = found.select("id", "page", "col_xs", F.get("row_ys", 0).alias("top"), F.element_at("row_ys", -1).alias("foot"))
+    near = F.filter("col_xs", lambda x: F.abs(F.col("mid") - x) <= SAME_EDGE)
+    met = edges.join(upright.hint("merge"), "page").select("id", "top", "foot", "y0", "y1", F.explode(near).alias("x")).groupBy("id", "x", "top", "foot").agg(F.min("y0").alias("from"), F.max("y1").alias("to"))
     return met.filter((F.col("from") <= F.col("top") + SAME_EDGE) & (F.col("to") >= F.col("foot") - SAME_EDGE)).select("id", "x")
 
 
@@ -42,7 +46,7 @@ def filed_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
     """(id, row, col, text, x0, y0, x1, y1): what stands in each cell, lines (page, text, x0, y0, x1, y1) from top to bottom, one space between, and its box.
 
     A line belongs to the row of its middle and to the column it starts in."""
-    placed = lines.join(found, "page").withColumn("row", band_index((F.col("y0") + F.col("y1")) / 2, F.col("row_ys"))).withColumn("col", band_index(F.col("x0"), F.col("col_xs")))
+    placed = lines.join(found.hint("merge"), "page").withColumn("row", band_index((F.col("y0") + F.col("y1")) / 2, F.col("row_ys"))).withColumn("col", band_index(F.col("x0"), F.col("col_xs")))
     cells = placed.filter("row IS NOT NULL AND col IS NOT NULL").groupBy("id", "row", "col")
     piece = F.struct("y0", "x0", "text")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["text"]), " ")
@@ -54,7 +58,7 @@ def consumed_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
     inside = lambda mid, edges: (mid >= F.get(edges, 0)) & (mid <= F.element_at(edges, -1))
     outer = found.select("page", "col_xs", "row_ys")
     met = (F.col("l.page") == F.col("g.page")) & inside((F.col("x0") + F.col("x1")) / 2, F.col("col_xs")) & inside((F.col("y0") + F.col("y1")) / 2, F.col("row_ys"))
-    return lines.alias("l").join(outer.alias("g"), met, "left_semi")
+    return lines.alias("l").join(outer.alias("g").hint("merge"), met, "left_semi")
 
 
 def split_at(text: Column, x0: Column, x1: Column, edges: Column) -> Column:
