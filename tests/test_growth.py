@@ -1,9 +1,13 @@
 """What keeps queries within their limits as tables grow."""
 
 import os
+import random
 
+import pandas as pd
 import pytest
 
+from arbora.functions import styled
+from arbora.operators import compare, islands
 from arbora.plans import catalogue
 
 DATA = os.environ.get("ARBORA_TEST_DATA", "/root/testdata/sf0.001")
@@ -17,3 +21,56 @@ def plan(found) -> str:
 @pytest.mark.parametrize("name", ["through_columns", "ruled_cells"])
 def test_grids_are_never_broadcast(spark, name):
     assert "Broadcast" not in plan(catalogue.queries()[name](spark, DATA))
+
+
+def split(rows: pd.DataFrame, rng: random.Random):
+    while len(rows):
+        n = rng.randint(0, 4)
+        yield rows.iloc[:n].reset_index(drop=True)
+        rows = rows.iloc[n:]
+
+
+def test_frames_of_one_key_are_put_together_once(monkeypatch):
+    moved, real = [], pd.concat
+    monkeypatch.setattr(islands.pd, "concat", lambda parts, **k: moved.append(sum(map(len, parts))) or real(parts, **k))
+    frames = (pd.DataFrame({"k": [1] * 10, "v": range(10)}) for _ in range(50))
+    found = list(islands.grouped(frames, ["k", "v"], ["k"], lambda key, c: [(*key, len(c["v"]))], ["k", "n"]))
+    assert [f.values.tolist() for f in found] == [[[1, 500]]] and sum(moved) == 500
+
+
+def test_groups_of_frames_cut_anywhere():
+    rng = random.Random(3)
+    for _ in range(200):
+        keys = sorted(rng.choice(["a", "b", "c"]) for _ in range(rng.randint(0, 12))) + [None] * rng.randint(0, 3)
+        rows = pd.DataFrame({"k": pd.Series(keys, dtype=object), "v": range(len(keys))})
+        found = [r for f in islands.grouped(split(rows, rng), ["k", "v"], ["k"], lambda key, c: [(*key, c["v"])], ["k", "v"]) for r in f.values.tolist()]
+        assert found == [[k, [n for n, x in enumerate(keys) if x == k]] for k in dict.fromkeys(keys)]
+
+
+def test_large_scopes_of_one_side_are_never_gathered(spark, monkeypatch):
+    monkeypatch.setattr(compare, "MANY_TABLES", 2)
+    schema = "scope string, ord int, key string, title string"
+    left = spark.createDataFrame([("a", n, f"a{n}", f"t{n}") for n in range(5)] + [("x", n, f"x{n}", "x") for n in range(5)], schema)
+    right = spark.createDataFrame([("a", n, f"a{n}", f"t{n}") for n in range(1, 4)] + [(None, n, f"n{n}", "x") for n in range(5)] + [("y", 1, "y1", "x")], schema)
+    assert {r.scope for r in compare._paired_scopes(compare._sided(left, right)).collect()} == {"a", "y"}
+    assert sorted(compare.titled_pairs(left, right).collect()) == [(f"a{n}", f"a{n}") for n in range(1, 4)]
+
+
+def test_values_that_stand_once_match_without_a_search(monkeypatch):
+    rng = random.Random(5)
+    cases = [([*map(str, rng.sample(range(9), rng.randint(0, 9)))], rng) for _ in range(300)]
+    cases = [(left, [x for x in left if rng.random() < 0.7] + [*"xy"][: rng.randint(0, 2)]) for left, _ in cases]
+    expected = []
+    for left, right in cases:
+        codes = islands.SequenceMatcher(None, left, right, autojunk=False).get_opcodes()
+        expected.append([p for kind, a, b, c, d in codes if kind in ("equal", "replace") for p in zip(range(a, b), range(c, d))])
+    monkeypatch.setattr(islands, "SequenceMatcher", None)
+    assert [islands.in_order(*case) for case in cases] == expected
+
+
+def test_counted_characters_alone():
+    rng = random.Random(7)
+    parts = ["--", "-", ".", ",", '"', "”", "“", " ", "•", "A-", "1.2", "3.4.5", "(2)", "(a)", "a", "–", "²", "٣", "\n", '."', ",”", "\x1c"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert styled.counted(text) == styled.signature(text)[0]
