@@ -74,3 +74,12 @@ def test_counted_characters_alone():
     for _ in range(5000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         assert styled.counted(text) == styled.signature(text)[0]
+
+
+def test_few_rows_pair_as_many_do(monkeypatch):
+    rng = random.Random(11)
+    sets = lambda: [frozenset(rng.sample("abcdefgh", rng.randint(0, 5))) for _ in range(rng.randint(0, 6))]
+    cases = [(sets(), sets()) for _ in range(500)]
+    few = [islands.similar_in_order(*case) for case in cases]
+    monkeypatch.setattr(islands, "FEW_PAIRS", -1)
+    assert few == [islands.similar_in_order(*case) for case in cases]
