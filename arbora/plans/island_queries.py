@@ -114,20 +114,25 @@ def judge_loop_fake(spark: SparkSession, d: str) -> DataFrame:
     return islands.judged(rows, _fake_judge)
 
 
-def image_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of images drawn from embeddings against the next one's: hash, ink and what a pair counts as."""
+def _drawn(vector) -> np.ndarray:
+    values = np.asarray(vector, float)[:64].reshape(8, -1)
+    canvas = np.full((80, 80, 3), 255, np.uint8)
+    canvas[8:72, 8:72] = np.kron(np.where(values > np.median(values), 0, 255), np.ones((8, 64 // values.shape[1])))[:64, :64, None]
+    return canvas
+
+
+def _pair_scores(left: pd.Series, right: pd.Series, label: pd.Series) -> pd.DataFrame:
+    """One pair of images is held at a time, however many rows come at once."""
 
-    def drawn(vector) -> np.ndarray:
-        values = np.asarray(vector, float)[:64].reshape(8, -1)
-        canvas = np.full((80, 80, 3), 255, np.uint8)
-        canvas[8:72, 8:72] = np.kron(np.where(values > np.median(values), 0, 255), np.ones((8, 64 // values.shape[1])))[:64, :64, None]
-        return canvas
+    def scored(a: np.ndarray, b: np.ndarray, formula: bool) -> tuple[float, float, float]:
+        return raster.pair_score(a, b, True), raster.ink_correlation(a, b), raster.pair_score(a, b, formula)
 
-    @F.pandas_udf("struct<plain: double, ink: double, score: double>")
-    def scores(left: pd.Series, right: pd.Series, label: pd.Series) -> pd.DataFrame:
-        pairs = [(drawn(a), drawn(b), n % 2 == 0) for a, b, n in zip(left, right, label)]
-        return pd.DataFrame([(raster.pair_score(a, b, True), raster.ink_correlation(a, b), raster.pair_score(a, b, formula)) for a, b, formula in pairs], columns=["plain", "ink", "score"])
+    return pd.DataFrame([scored(_drawn(a), _drawn(b), n % 2 == 0) for a, b, n in zip(left, right, label)], columns=["plain", "ink", "score"])
 
+
+def image_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of images drawn from embeddings against the next one's: hash, ink and what a pair counts as."""
+    scores = F.pandas_udf(_pair_scores, "struct<plain: double, ink: double, score: double>")
     rows = table(spark, d, "embeddings")
     other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     return rows.join(other, "vec_id").select("vec_id", scores("embedding", "other", "label").alias("x")).select("vec_id", "x.*")

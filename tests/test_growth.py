@@ -2,6 +2,7 @@
 
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ import pytest
 
 from arbora.functions import styled
 from arbora.operators import compare, islands
-from arbora.plans import catalogue
+from arbora.plans import catalogue, island_queries
 
 DATA = os.environ.get("ARBORA_TEST_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -91,3 +92,14 @@ def test_few_boxes_merge_as_many_do():
     for _ in range(300):
         boxes = sorted({(float(x := rng.randint(0, 200)), float(y := rng.randint(0, 90)), x + rng.random() * 25, y + rng.random() * 18) for _ in range(rng.randint(1, 14))})
         assert sorted(islands._merged_few(boxes)) == sorted(map(tuple, islands.merged_boxes(np.array(boxes)).tolist()))
+
+
+def test_one_pair_of_images_is_held_at_a_time():
+    rows = pd.Series([np.arange(64.0) + n for n in range(400)])
+    tracemalloc.start()
+    try:
+        found = island_queries._pair_scores(rows, rows[::-1].reset_index(drop=True), pd.Series(range(400)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 400 and peak < 3_000_000  # all pairs are 15 MB
