@@ -115,12 +115,12 @@ def shown_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 def _json(spark: SparkSession, d: str) -> DataFrame:
     """Each order as site content: a table of its lines, a sentence of clauses, a note, and a formula."""
-    part = F.struct(F.lit("text").alias("type"), _string(c("l_partkey")).alias("value"))
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.struct(F.array(F.struct(F.array(part).alias("content"), F.lit(1).alias("rowspan")), F.struct(F.array(F.struct(F.lit("text").alias("type"), _string("s", c("l_suppkey")).alias("value"))).alias("content"), F.lit(1).alias("rowspan"))).alias("cells")).alias("row"))
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("xs"))
+    cell = lambda *value: F.struct(F.array(F.struct(F.lit("text").alias("type"), _string(*value).alias("value"))).alias("content"), F.lit(1).alias("rowspan"))
+    row = lambda x: F.struct(F.array(cell(x["l_partkey"]), cell("s", x["l_suppkey"])).alias("cells"))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("xs"))
     own = _string(c("l_orderkey"))
     head = F.array(F.struct(F.array(F.struct(F.array(F.struct(F.lit("text").alias("type"), F.lit("head").alias("value"))).alias("content"), F.lit(2).alias("colspan"))).alias("cells")))
-    tables = F.struct(F.lit("table").alias("type"), _string("T.", own).alias("id"), F.lit("Lines").alias("title"), F.struct(head.alias("header_rows"), F.transform("xs", lambda x: x["row"]).alias("body_rows")).alias("structure"))
+    tables = F.struct(F.lit("table").alias("type"), _string("T.", own).alias("id"), F.lit("Lines").alias("title"), F.struct(head.alias("header_rows"), F.transform("xs", row).alias("body_rows")).alias("structure"))
     clauses = F.transform("xs", lambda x, i: F.struct(F.when(x["l_linenumber"] < 5, F.concat(F.lit("c"), i.cast("string"))).alias("id"), x["l_partkey"].cast("string").alias("text"), F.array(F.struct(F.concat(F.lit("s"), i.cast("string")).alias("id"), x["l_linenumber"].alias("number"), F.lit("sub").alias("text"))).alias("subclauses")))
     sentence = F.struct(F.lit("sentence").alias("type"), _string("S.", own).alias("id"), F.lit(3).alias("number"), F.lit("Shall be:").alias("text"), clauses.alias("clauses"))
     note = F.concat(F.lit('{"type": "note", "id": "N.'), own, F.lit('", "number": "'), own, F.lit('", "title": "On it", "content": [{"content": "first"}, '), F.to_json(tables), F.lit(', {"content": "last "}]}'))

@@ -133,3 +133,8 @@ def test_scalars_are_never_walked():
 
     inner = Noted(a=1, b=[2, {"c": "x"}, "y"])
     assert list(site.objects([1, inner, "z"])) == [inner, {"c": "x"}]
+
+
+def test_site_content_is_made_after_its_lines_are_gathered(spark):
+    made, gathered = plan(compare_queries._json(spark, DATA)).split("ObjectHashAggregate", 1)
+    assert "rowspan" in made and "rowspan" not in gathered
