@@ -140,8 +140,7 @@ def site_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 def site_notes(spark: SparkSession, d: str) -> DataFrame:
     """Notes with their texts, tables left out, and formulas."""
-    found = [islands.extracted(_json(spark, d), "l_orderkey", "json", nodes) for nodes in (site.note_nodes, site.formula_nodes)]
-    return found[0].unionByName(found[1]).select("type", "citation", "identifier", "title", "content")
+    return islands.extracted(_json(spark, d), "l_orderkey", "json", site.note_nodes, site.formula_nodes).select("type", "citation", "identifier", "title", "content")
 
 
 def navigation_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -138,3 +138,10 @@ def test_scalars_are_never_walked():
 def test_site_content_is_made_after_its_lines_are_gathered(spark):
     made, gathered = plan(compare_queries._json(spark, DATA)).split("ObjectHashAggregate", 1)
     assert "rowspan" in made and "rowspan" not in gathered
+
+
+def test_many_kinds_of_nodes_from_one_parse(spark):
+    rows = spark.createDataFrame([(1, '{"a": 1}'), (2, "no json"), (3, None), (4, "[]")], "k long, json string")
+    named = lambda name: lambda value: iter([(name, str(n), None, "", "", "") for n in range(len(value))])
+    found = islands.extracted(rows, "k", "json", named("x"), named("y")).select("k", "at", "type", "citation", "parent").collect()
+    assert sorted(map(tuple, found)) == [(1, 0, "x", "0", None), (1, 0, "y", "0", None)]
