@@ -119,22 +119,40 @@ def compared(nodes: DataFrame, others: DataFrame, settled: DataFrame, images: Da
     ``nodes`` are (path, key, type, content), a path being its parent's, a slash and its own place; ``others`` (key, content);
     ``images`` (owner_path, ok). A node without a key passes by itself, one with children where it has a counterpart, a leaf where ``matches`` says so
     of both contents, an empty cell without counterpart where its row has one. Failures alone go up: each names its ancestors,
-    so the cost is failures times depth, and no node gathers its children."""
-    parent = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", ""))
+    so the cost is failures times depth, and no node gathers its children. Contents are compared as they meet and left behind:
+    what is dealt by path afterwards is keys and flags, and marks of what fails. Also has inner: of nodes that are not ok, those with
+    nodes below them."""
     right = others.select(F.col("key").alias("partner"), F.col("content").alias("__other"), F.lit(True).alias("met"))
-    known = staged(_partnered(nodes.withColumn("__parent", parent), settled).join(right, "partner", "left").withColumn("met", F.coalesce("met", F.lit(False))))
-    above = known.select(F.col("path").alias("__parent"), F.col("met").alias("__above"))
-    inner = known.select(F.col("__parent").alias("path")).filter("path IS NOT NULL").distinct().withColumn("__inner", F.lit(True))
-    joined = known.join(above, "__parent", "left").join(inner, "path", "left")
-    empty = F.trim(F.coalesce("content", F.lit(""))) == ""
-    covered = (F.col("type") == "Cell") & F.coalesce("__above", F.lit(False)) & empty
-    keyless = F.coalesce("key", F.lit("")) == ""
-    own = F.when(~F.col("met"), keyless | covered).when(F.col("__inner"), True).otherwise(matches(F.coalesce("content", F.lit("")), F.coalesce("__other", F.lit(""))))
-    judged = staged(joined.select("path", "key", "partner", "met", F.coalesce("__inner", F.lit(False)).alias("inner"), own.alias("own_ok")))
-    failed = judged.filter("NOT own_ok").select("path").unionByName(images.filter("NOT ok").select(F.col("owner_path").alias("path"))).distinct()
+    content = F.coalesce("content", F.lit(""))
+    told = {
+        "met": F.coalesce("met", F.lit(False)),
+        "keyless": F.coalesce("key", F.lit("")) == "",
+        "blank": (F.col("type") == "Cell") & (F.trim(content) == ""),
+        "alike": matches(content, F.coalesce("__other", F.lit(""))),
+        "own": F.col("partner").eqNullSafe(F.col("key")),
+        "elsewhere": F.when(~F.col("partner").eqNullSafe(F.col("key")), F.col("partner")),
+    }
+    known = staged(_partnered(nodes, settled).join(right.hint("merge"), "partner", "left").select("path", "key", *(x.alias(n) for n, x in told.items())))
+    parent = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).alias("__parent")
+    parents = staged(known.select(parent).filter("__parent IS NOT NULL").distinct().select(F.col("__parent").alias("path"), F.lit(True).alias("inner")))
+    # only what may fail by itself asks whether it has nodes below it, or a row above it that has a counterpart
+    suspects = known.filter(F.when(F.col("met"), ~F.col("alike")).otherwise(~F.col("keyless"))).select("path", parent, "met", "blank")
+    above = known.filter("met").select(F.col("path").alias("__parent"), F.lit(True).alias("covered"))  # one alone, or as many that say the same
+    no = F.lit(False)
+    differing = suspects.filter("met").join(parents, "path", "left").select("path", F.coalesce("inner", no).alias("closed"), no.alias("covered"))
+    empty = suspects.filter("NOT met AND blank").join(above.hint("merge"), "__parent", "left").select("path", no.alias("closed"), F.coalesce("covered", no).alias("covered"))
+    lone = suspects.filter("NOT met AND NOT blank").select("path", no.alias("closed"), no.alias("covered"))
+    settled_ones = staged(differing.unionByName(empty).unionByName(lone))
+    failed = settled_ones.filter("NOT closed AND NOT covered").select("path").unionByName(images.filter("NOT ok").select(F.col("owner_path").alias("path"))).distinct()
     parts = F.split("path", "/")
-    up = failed.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path")).distinct().withColumn("__bad", F.lit(True))
-    return judged.join(up, "path", "left").select("path", "key", "partner", "met", "inner", "own_ok", F.col("__bad").isNull().alias("ok"))
+    up = failed.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path")).distinct()
+    bad = up.join(parents.hint("merge"), "path", "left").select("path", no.alias("closed"), no.alias("covered"), F.lit(True).alias("bad"), F.coalesce("inner", no).alias("inner"))
+    marks = bad.unionByName(settled_ones.filter("closed OR covered").select("path", "closed", "covered", no.alias("bad"), F.col("closed").alias("inner")))
+    marks = marks.groupBy("path").agg(*(F.bool_or(n).alias(n) for n in ("closed", "covered", "bad", "inner")))
+    marked = lambda n: F.coalesce(n, no)
+    own = F.when(F.col("met"), F.col("alike") | marked("closed")).otherwise(F.col("keyless") | (F.col("blank") & marked("covered")))
+    partner = F.when(F.col("own"), F.col("key")).otherwise(F.col("elsewhere"))
+    return known.join(marks.hint("merge"), "path", "left").select("path", "key", partner.alias("partner"), "met", marked("inner").alias("inner"), own.alias("own_ok"), (~marked("bad")).alias("ok"))
 
 
 def leaf_reasons(statuses: DataFrame, kinds: DataFrame) -> DataFrame:

@@ -145,3 +145,10 @@ def test_many_kinds_of_nodes_from_one_parse(spark):
     named = lambda name: lambda value: iter([(name, str(n), None, "", "", "") for n in range(len(value))])
     found = islands.extracted(rows, "k", "json", named("x"), named("y")).select("k", "at", "type", "citation", "parent").collect()
     assert sorted(map(tuple, found)) == [(1, 0, "x", "0", None), (1, 0, "y", "0", None)]
+
+
+def test_contents_are_left_behind_once_compared(spark, monkeypatch):
+    written, real = [], compare.staged
+    monkeypatch.setattr(compare, "staged", lambda df: written.append(df.columns) or real(df))
+    found = compare_queries.compared_tree(spark, DATA)
+    assert found.count() and written and not {"content", "__other", "type"} & {c for columns in written for c in columns}
