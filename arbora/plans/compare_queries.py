@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from arbora.functions import site
 from arbora.functions.text import plain_characters
 from arbora.operators import compare, islands
+from arbora.sources.staging import staged
 from arbora.sources.tables import table
 
 c = F.col
@@ -68,10 +69,11 @@ def compared_tree(spark: SparkSession, d: str) -> DataFrame:
 def told_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Reasons of failed leaves and images."""
     statuses, images = _statuses(spark, d)
-    differs = statuses.filter("met AND NOT own_ok").select("key", F.lit("text").alias("kind"))
+    failed = staged(statuses.filter("NOT ok"))  # what fails by itself is not ok
+    differs = failed.filter("met AND NOT own_ok").select("key", F.lit("text").alias("kind"))
     settled = spark.createDataFrame([], "left_key string, right_key string")
     there = table(spark, d, "orders").filter("o_orderstatus <> 'P'").select(_string("Fig", c("o_orderkey")).alias("key"))
-    return compare.leaf_reasons(statuses, differs).unionByName(compare.image_reasons(images.select("key", "ok"), there, settled))
+    return compare.leaf_reasons(failed, differs).unionByName(compare.image_reasons(images.select("key", "ok"), there, settled))
 
 
 def placed_by_precedence(spark: SparkSession, d: str) -> DataFrame:

@@ -152,3 +152,10 @@ def test_contents_are_left_behind_once_compared(spark, monkeypatch):
     monkeypatch.setattr(compare, "staged", lambda df: written.append(df.columns) or real(df))
     found = compare_queries.compared_tree(spark, DATA)
     assert found.count() and written and not {"content", "__other", "type"} & {c for columns in written for c in columns}
+
+
+def test_failures_are_worked_out_once(spark, monkeypatch):
+    written, real = [], compare_queries.staged
+    monkeypatch.setattr(compare_queries, "staged", lambda df: written.append(df) or real(df))
+    assert compare_queries.told_reasons(spark, DATA).count() and len(written) == 1
+    assert written[0].filter("ok").isEmpty()
