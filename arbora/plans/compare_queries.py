@@ -94,7 +94,7 @@ def placed_in_grid(spark: SparkSession, d: str) -> DataFrame:
     row = lambda *xs: F.array(*(F.lit(x) if isinstance(x, str) else x for x in xs))
     ours = grid(F.array(row("a", "", "b"), row(_string(c("table")), "", "x"), row("lost", "kept", "too"))).withColumn("cell", _string(c("row_ord"), ".", c("cell_ord")))
     theirs = grid(F.array(row("a", "b"), row(_string(c("table")), "", "x"), row("lost", "kept"))).withColumn("place", _string("at", c("cell_ord"))).withColumnRenamed("content", "text")
-    placed = compare.placed_cells(ours, theirs)
+    placed = staged(compare.placed_cells(ours, theirs))  # read again for what was lost
     lost = compare.misaligned_rows(ours, placed).withColumn("cell", F.lit(None).cast("string")).withColumn("place", F.lit("misaligned"))
     return placed.unionByName(lost).select("table", "cell", "place")
 

@@ -159,3 +159,7 @@ def test_failures_are_worked_out_once(spark, monkeypatch):
     monkeypatch.setattr(compare_queries, "staged", lambda df: written.append(df) or real(df))
     assert compare_queries.told_reasons(spark, DATA).count() and len(written) == 1
     assert written[0].filter("ok").isEmpty()
+
+
+def test_cells_are_placed_once(spark):
+    assert "MapInPandas" not in plan(compare_queries.placed_in_grid(spark, DATA))
